@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: ASCII white space, the class ``[\x20\x09-\x0D]``.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -92,11 +91,32 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(small, schema)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a DDL string of simple types."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _split(ddl: str) -> list[str]:
+    """The parts of a DDL list at its commas outside angle brackets."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
 
-    return to_arrow_schema(T.StructType.fromDDL(ddl)) if hasattr(T.StructType, "fromDDL") else to_arrow_schema(T._parse_datatype_string(ddl))
+def _arrow_type(name: str) -> pa.DataType:
+    if name.startswith("array<"):
+        return pa.list_(_arrow_type(name[6:-1]))
+    if name.startswith("struct<"):
+        return pa.struct([(f.split(":", 1)[0].strip(), _arrow_type(f.split(":", 1)[1].strip())) for f in _split(name[7:-1])])
+    return _ARROW[name]
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; needs no session, so that workers can call it."""
+    return pa.schema([(f.split(" ", 1)[0], _arrow_type(f.split(" ", 1)[1].strip())) for f in _split(ddl)])
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -6,13 +6,17 @@ from cytolake.llm.bpe import op1_bpe_roundtrip
 from cytolake.llm.chat import OP10_SQL, op10_chat_format
 from cytolake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from cytolake.llm.html_extract import op4_html_extract
+from cytolake.llm.near_dedup import op2_near_dedup
 from cytolake.llm.packing import op7_pack
+from cytolake.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_near_dedup": op2_near_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pack": op7_pack,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op10_chat_format": OP10_SQL}
