@@ -1,12 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator."""
+"""The corpus pipeline: five stages over ``documents``, each calling one operator.
 
-STAGES: list = []
+A stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept.
+All but the last return the columns that they were given; a stage's decisions take
+effect in what it returns.  Rows with a null doc_id pass through the stages like others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from cytolake.llm.common import staged, table
+from cytolake.llm.exact_dedup import exact_dedup
+from cytolake.llm.labelled import labels_of
+from cytolake.llm.near_dedup import near_components
+from cytolake.llm.packing import pack
+from cytolake.llm.quality import keep_quality, train
+from cytolake.llm.suffix_dedup import without_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return keep_quality(docs, train(docs, labels_of(spark, sf_dir)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space: the longest, then the smallest doc_id."""
+    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
+    rows = docs.withColumn("_digest_", digest)
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_") == F.col("_digest")), "left_semi")
+    # Rows that share a doc_id as well as the text: the longest of them.
+    best = rows.groupBy("doc_id", "_digest_").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("best"))
+    return best.select(*[F.col(f"best.`{c}`").alias(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each component of near duplicates (five words, 0.8)."""
+    kept = near_components(docs, words=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that have occurred before."""
+    out = without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with their places in sequences of 4096."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("packing", packing)]
+
+#: SQL can't express the classifier or the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages, applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to ``documents``; what each returns is written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,7 +77,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` whose input comes in small batches, so that memory holds few long texts."""
 
     def small(batches):

@@ -8,14 +8,18 @@ from cytolake.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from cytolake.llm.html_extract import op4_html_extract
 from cytolake.llm.near_dedup import op2_near_dedup
 from cytolake.llm.packing import op7_pack
+from cytolake.llm.quality import op6_quality
 from cytolake.llm.suffix_dedup import op9_suffix_dedup
+from cytolake.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_near_dedup": op2_near_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_pack": op7_pack,
+    "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
 }

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytolake.llm.anchors import cuts
 from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, shuffle_parts, staged
@@ -157,18 +158,18 @@ def settle_equal_cuts(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _with_texts(df: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """The packed rows of each block of documents, then the block's documents."""
-    schema = arrow_schema("part int, doc_id bigint, text string")
+    """The packed rows of each block of documents, then the block's documents (``doc_id``, ``text`` and, if there is one, ``rest``)."""
+    out = T.StructType([T.StructField("part", T.IntegerType()), *df.schema.fields])
 
     def block(batches):
         for b in batches:
             doc, tie = _doc_keys(b.column(0), byte_texts(b.column(1)))
-            yield pa.record_batch([pa.array(_block(doc, tie, parts)), b.column(0), b.column(1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_block(doc, tie, parts)), *b.columns], ["part", *b.schema.names])
 
-    texts = arrow_map(df, block, "part int, doc_id bigint, text string", rows=500)
-    both = texts.select(F.lit(9).alias("kind"), "part", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("data"), "doc_id", "text")
-    both = rows.select("kind", "part", "n", "data", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text")).unionByName(both)
-    return both.repartitionById(parts, "part").sortWithinPartitions("kind").select("kind", "data", "doc_id", "text")
+    texts = arrow_map(df, block, out, rows=500).select(F.lit(9).alias("kind"), "part", F.lit(None).cast("binary").alias("data"), *df.columns)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    both = rows.select("kind", "part", "data", *none).unionByName(texts)
+    return both.repartitionById(parts, "part").sortWithinPartitions("kind").select("kind", "data", *df.columns)
 
 
 class _Block:
@@ -187,7 +188,7 @@ class _Block:
 
 
 def _block_batches(batches, dtype: np.dtype, rows: int = 200):
-    """``block, batch of documents`` of a partition: packed rows come first, then documents."""
+    """``block, ids, texts, rest`` of a partition's documents; packed rows come before them."""
     data, block = [], None
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
@@ -199,7 +200,7 @@ def _block_batches(batches, dtype: np.dtype, rows: int = 200):
                 if block is None:
                     block, data = _Block(data, dtype), None
                 b = b.slice(n)
-                yield block, b.column(2), byte_texts(b.column(3))
+                yield block, b.column(2), byte_texts(b.column(3)), b.columns[4:]
 
 
 def fetch_strings(df: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
@@ -221,7 +222,7 @@ def fetch_strings(df: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
             return pa.record_batch([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
 
         rows, strings = [], []
-        for block, ids, raw in _block_batches(batches, CUT):
+        for block, ids, raw, _ in _block_batches(batches, CUT):
             for text, key in zip(raw, zip(*(x.tolist() for x in _doc_keys(ids, raw)))):
                 got = block.of(*key)
                 if got.size and key not in done:
@@ -434,7 +435,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for block, ids, raw in _block_batches(batches, SPAN):
+        for block, ids, raw, _ in _block_batches(batches, SPAN):
             out = []
             for text, key in zip(raw, zip(*(x.tolist() for x in _doc_keys(ids, raw)))):
                 kept, gone, runs = removed(text, block.of(*key))
@@ -444,5 +445,21 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
     return _with_texts(df, spans, parts).mapInArrow(run, ddl)
 
 
+def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """The rows with all their columns, ``text`` without its repeated strings. A character of which a part goes, goes."""
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    held = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+    spans, parts = _spans(held.select("doc_id", "text"), length, anchor)
+
+    def run(batches):
+        for block, ids, raw, rest in _block_batches(batches, SPAN):
+            keys = zip(*(x.tolist() for x in _doc_keys(ids, raw)))
+            kept = [removed(text, block.of(*key))[0].decode("utf-8", "ignore") for text, key in zip(raw, keys)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), *rest], ["doc_id", "text", "rest"])
+
+    out = _with_texts(held, spans, parts).mapInArrow(run, held.schema)
+    return out.select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), digest=True)
