@@ -19,7 +19,6 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from cytolake.llm.common import arrow_map, arrow_schema, columns, documents, staged, texts
 
 CAPACITY, CLOSING_ID = 4096, 1
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -57,39 +56,62 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks: plain Latin ones word by word through the library's model, others whole."""
-        words, tokenize = self.words, self.tokenizer.model.tokenize
-        for c in chunks:
-            if not _LATIN.fullmatch(c) or any(m in c for m in self.marks):
-                self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            split, own = _LATIN_WORDS.findall(c.lower()), []
-            for w in split:
-                ids = words.get(w)
-                if ids is None:
-                    ids = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
-                    if len(w) == 1 or len(split) > 1:
-                        words[w] = ids
-                own.append(ids)
-            self.known[c] = own[0] if len(own) == 1 else b"".join(own)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        if any(not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("this tokenizer has special tokens that chunks are not searched for")
+
+    def word(self, word: str) -> bytes:
+        """The ids of a pre-token."""
+        packed = self.packed
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+        return b"".join([packed[t.id] for t in self.tokenize(plain)])
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk, remembered from now on: plain Latin ones word by word through the library's model, others whole."""
+        known = self.known
+        if chunk[-1] in ".," and len(chunk) > 2 and chunk[-2].isalpha():  # the mark is a pre-token of its own
+            before = known.get(chunk[:-1])
+            if before is not None:
+                ids = known[chunk] = before + known[chunk[-1]]
+                return ids
+        if not _LATIN.fullmatch(chunk) or "<|" in chunk:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        elif chunk.isalpha():
+            low = chunk.lower()
+            ids = (known.get(low) if low != chunk else None) or self.word(low)
+        else:
+            words, own = self.words, []
+            for w in _LATIN_WORDS.findall(chunk.lower()):
+                got = words.get(w)
+                if got is None:
+                    got = words[w] = self.word(w)
+                own.append(got)
+            ids = b"".join(own)
+        known[chunk] = ids
+        return ids
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.remembered:
             self.known.clear()
             self.words.clear()
-        get = self.known.get
-        split = [_CHUNK.findall(t) if _ODD_SPACE.search(t) else t.split() for t in batch]
-        out = [list(map(get, chunks)) for chunks in split]
-        late = [i for i, ids in enumerate(out) if None in ids]
-        if late:
-            self.learn(list({c for i in late for c, ids in zip(split[i], out[i]) if ids is None}))
-            for i in late:
-                out[i] = map(get, split[i])
-        return [b"".join(ids) for ids in out]
+        for mark in ".,":
+            self.known[mark] = self.word(mark)
+        out, get, chunk = [], self.known.get, self.chunk
+        for t in batch:
+            chunks = _CHUNK.findall(t) if _ODD_SPACE.search(t) else t.split()
+            ids = list(map(get, chunks))
+            at = -1
+            while None in ids:
+                try:
+                    while True:
+                        at = ids.index(None, at + 1)
+                        ids[at] = get(chunks[at]) or chunk(chunks[at])
+                except ValueError:
+                    break
+            out.append(b"".join(ids))
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -150,7 +172,7 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def fit(pattern: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
+def fit(pattern: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Repeat counts ``x >= 0`` that minimise ``|A x - histogram|``, by accelerated projected gradient."""
     n, m = len(pattern), histogram.size
     if not n:
