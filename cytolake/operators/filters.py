@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cytolake.operators.model import Study
 
-_MISSING = F.col("value").isNull()
-
 
 def sample_missingness(cells: DataFrame, n_probes: int | None = None) -> DataFrame:
     """``sample_id, n_missing, n_present, missing_fraction``; ``n_probes`` counts absent cells as missing too."""

@@ -53,7 +53,7 @@ def pvalue_histogram(res: DataFrame, pval: str = "pval", bins: int = 50) -> Data
 def manhattan(res: DataFrame, annotation: DataFrame, pval: str = "pval", chr_col: str = "chr", pos_col: str = "pos") -> DataFrame:
     """``probe_id, chr, x, neg_log10_p`` with ``x`` the chromosome's place (sorted as text) times 1e9, plus the position."""
     rows = res.join(annotation.select("probe_id", clean_chromosome(chr_col).alias("chr"), F.col(pos_col).cast("bigint").alias("pos")), "probe_id")
-    order = rows.select("chr").distinct().withColumn("ord", F.row_number().over(Window.orderBy("chr")) - 1)  # one row per chromosome
+    order = rows.select("chr").distinct().withColumn("ord", (F.row_number().over(Window.orderBy("chr")) - 1).cast("bigint"))  # one row per chromosome
     return rows.join(F.broadcast(order), "chr").select("probe_id", "chr", (F.col("ord") * F.lit(1_000_000_000) + F.col("pos")).alias("x"), _minus_log10(pval).alias("neg_log10_p"))
 
 
