@@ -195,7 +195,8 @@ def _block_batches(batches, dtype: np.dtype, rows: int = 200):
             b = whole.slice(at, rows)
             kind = b.column(0).to_numpy()
             n = int((kind < 9).sum())
-            data += b.column(1).slice(0, n).to_pylist()
+            if n:
+                data += b.column(1).slice(0, n).to_pylist()
             if n < b.num_rows:
                 if block is None:
                     block, data = _Block(data, dtype), None
