@@ -58,13 +58,10 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, cast; a missing one is null. Extra or clashing columns go."""
-    have = {}
-    for f in df.schema.fields:
-        have.setdefault(f.name, f.name)
-    return df.select(*[
-        (F.col(f"`{c}`").cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()
-    ])
+    """Only the named columns, cast; a missing one is null. Extra columns go, also those whose names differ only in case
+    or occur twice (the first of exactly that name is taken)."""
+    names, plain = df.columns, df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[(F.col(f"c{names.index(c)}") if c in names else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
