@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,17 +188,21 @@ def f_test(fit: DataFrame, unscaled: np.ndarray, eps: float = 1e-8, method: str
 
 
 def fit_differential(packed: DataFrame, design: pd.DataFrame, contrast=None, contrast_matrix=None, shrink="auto", robust: bool = True, eps: float = 1e-8,
-                     min_count: int = 3, max_d0: float = 50.0, winsor: tuple[float, float] = (0.05, 0.95), missing: str = "ols", residuals: bool = False) -> DataFrame:
+                     min_count: int = 3, max_d0: float = 50.0, winsor: tuple[float, float] = (0.05, 0.95), missing: str = "ols", residuals: bool = False, keep: bool = True, whole: bool | None = None) -> DataFrame:
     """The whole test of every probe of a packed matrix: fit, prior, moderation, t (a vector) or F (a matrix of contrasts).
 
     Neither contrast gives the variance columns alone; both raise a ValueError, as does a matrix without any row
-    that can be fitted.
+    that can be fitted. The fit, a few numbers per probe, is read several times (prior, adjustment, result): with
+    ``keep`` it is persisted, in memory and on disk, and a lost part is fitted anew. ``whole`` says that no cell of
+    the matrix is missing, where that is known; else one aggregate finds out.
     """
     if contrast is not None and contrast_matrix is not None:
         raise ValueError("give one contrast or a matrix of them, not both")
     x = design.to_numpy(float)
     rows = np.atleast_2d(np.asarray(contrast_matrix if contrast_matrix is not None else contrast if contrast is not None else np.zeros(x.shape[1]), float))
-    fit = fitted(packed, design, rows, robust, *winsor, min_count=min_count, missing=missing, residuals=residuals)
+    fit = fitted(packed, design, rows, robust, *winsor, min_count=min_count, missing=missing, whole=whole, residuals=residuals)
+    if keep:
+        fit = fit.persist(StorageLevel.MEMORY_AND_DISK)
     prior = choose_prior(fit, shrink, len(x), max_d0, robust, *winsor)
     fit = moderated(fit, prior)
     unscaled = rows @ np.linalg.pinv(x.T @ x) @ rows.T
@@ -214,7 +219,7 @@ def fit_chunked(packed: DataFrame, design: pd.DataFrame, contrast, chunk: int =
     Chunks are of about equal size, by a hash of the id; the chunks' moments are one row each.
     """
     x, c = design.to_numpy(float), np.asarray(contrast, float)
-    fit = fitted(packed, design, c, robust)
+    fit = fitted(packed, design, c, robust).persist(StorageLevel.MEMORY_AND_DISK)
     probes = fit.select("probe_id")
     n = max(1, probes.count() // chunk)
     # Chunks of about equal size by a hash of the id: a probe's chunk doesn't depend on the others.

@@ -280,22 +280,22 @@ FIT = ["probe_id", "logFC", "s2", "s2_post", "t", "pval", "padj"]
 
 @query("fit_two_group", fit_sql(5, 0))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="none", robust=False).select(*FIT)
+    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="none", robust=False, whole=True).select(*FIT)
 
 
 @query("fit_robust", fit_sql(5, 0, robust=True))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="auto").select(*FIT)
+    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="auto", whole=True).select(*FIT)
 
 
 @query("fit_fixed_prior", fit_sql(15, 10))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink=10.0, robust=False).select(*FIT)
+    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink=10.0, robust=False, whole=True).select(*FIT)
 
 
 @query("fit_median_prior")
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="median", robust=False).select(*FIT)
+    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="median", robust=False, whole=True).select(*FIT)
 
 
 @query("fit_smyth_missing")
@@ -321,7 +321,7 @@ THREE = "CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE
        f"SELECT probe_id, {r('s2')} AS s2, {r('f')} AS \"F\", {r('p')} AS pval, {r('least(1.0::DOUBLE, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))')} AS padj FROM o")
 def _(spark, sf):
     x = design.build_design(pd.DataFrame({"g": ["abc"[int(y) % 3] for y in fx.YEARS]}))
-    return linmod.fit_differential(complete(spark, sf), x, contrast_matrix=[[0, 1, 0], [0, 0, 1]], shrink="none", robust=False).select("probe_id", "s2", "F", "pval", "padj")
+    return linmod.fit_differential(complete(spark, sf), x, contrast_matrix=[[0, 1, 0], [0, 0, 1]], shrink="none", robust=False, whole=True).select("probe_id", "s2", "F", "pval", "padj")
 
 
 @query("fit_many_groups")
