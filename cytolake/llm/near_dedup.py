@@ -13,9 +13,10 @@ is ``100 * |intersection| >= 80 * |union|``.
 Documents with the same set are one node.  Within a key's members all pairs are not
 emitted: (1) each node is compared with the hub (smallest node of a key) that it shares
 most keys with, (2) nodes still in another component than a hub of theirs with that hub,
-(3) in keys whose members are still in different components, members of different
-components with each other.  Links inside a component change nothing, so no component
-is lost.  Keys, hubs and links meet only in aggregations and equi-joins.
+(3) of all members of keys that are still in different components, those of different
+components that share one of their rarest shingles, as sets this similar must.  Links
+inside a component change nothing, so no component is lost.  Keys, hubs and links meet
+only in aggregations and equi-joins.
 
 Defined cases: null and empty texts and those without words have an empty set, a
 component of their own and no links; texts with fewer words than a shingle have one
@@ -31,7 +32,7 @@ import gc
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, staged
@@ -174,6 +175,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", rows=200)
 
 
+def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` of members (``node, component, n``) of different components that can be links.
+
+    Each member's hashes are put in one order, those in few members first (hashes of one member alone come before all
+    others and are shared with none). Sets that are similar enough share one of the first
+    ``n - ceil(percent / 100 * n) + 1`` of each; and what follows the first one that they share, in either, must be
+    enough for the overlap that a link needs (prefix and position filtering: no link is lost).
+    """
+    schema = arrow_schema("token bigint, node bigint")
+
+    def run(batches):
+        for b in batches:
+            sizes = [len(x) // 8 for x in b.column(1).to_pylist()]
+            yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], schema=schema)
+
+    tokens = arrow_map(sets.join(members.select("node"), "node").select("node", "hashes"), run, "token bigint, node bigint", rows=200)
+    common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "token"))
+    ranked = tokens.join(common, "token").withColumn("rank", rank).withColumn("m", F.count("*").over(Window.partitionBy("node")))
+    ranked = ranked.join(members, "node").withColumn("left", F.col("m") - F.col("rank") + 1)  # this hash and those after it
+    first = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    rare = ranked.where(F.col("n") - F.col("left") < first).select("token", "node", "component", "n", "left")
+    rare = staged(rare, "rare")
+    several = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    one = rare.join(several, "token")
+    other = one.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    enough = F.least("left", "left_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    one, same = one.withColumnRenamed("node", "a").alias("x"), F.col("x.token") == F.col("y.token")
+    both = one.join(other.alias("y"), same & (F.col("component") < F.col("c_b")) & enough)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_components(df: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; see the module's text."""
     df = columns(df, doc_id="bigint", text="string")
@@ -206,10 +239,8 @@ def near_components(df: DataFrame, words: int = 5) -> DataFrame:
 
     member = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    member = staged(member.join(mixed, "key"), "mixed")
-    other = member.select("key", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    cross = member.withColumnRenamed("node", "a").join(other, "key").where("component <> c_b and a < b").select("a", "b").distinct()
-    cross = cross.join(star.select("a", "b"), ["a", "b"], "left_anti")
+    member = member.join(mixed, "key").select("node", "component").distinct().join(nodes.select("node", "n"), "node")
+    cross = sharing_rare(staged(member, "mixed"), sets).join(star.select("a", "b"), ["a", "b"], "left_anti")
     links = staged(links.unionByName(confirmed(near_enough(cross, nodes), sets)), "links")
     labels = connected_components(links)
 
