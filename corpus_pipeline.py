@@ -27,13 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space: the longest, then the smallest doc_id."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_rows"))
+    kept = staged(kept, "kept")
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    rows = docs.withColumn("_digest_", digest)
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_") == F.col("_digest")), "left_semi")
+    rows = docs.withColumn("_own", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    if not kept.where("_rows > 1").limit(1).count():
+        return rows.select(*docs.columns)
     # Rows that share a doc_id as well as the text: the longest of them.
-    best = rows.groupBy("doc_id", "_digest_").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("best"))
-    return best.select(*[F.col(f"best.`{c}`").alias(c) for c in docs.columns])
+    several = rows.where("_rows > 1").groupBy("_id", "_digest").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("best"))
+    return rows.where("_rows = 1").select(*docs.columns).unionByName(several.select(*[F.col(f"best.`{c}`").alias(c) for c in docs.columns]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
