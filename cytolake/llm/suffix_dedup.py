@@ -92,8 +92,35 @@ def _block(doc: np.ndarray, tie: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64) ^ tie) % np.uint64(parts)).astype(np.int32)
 
 
+def later_copies(rows: np.ndarray) -> np.ndarray:
+    """Which cuts come after another one with the same anchor and content."""
+    if not rows.size:
+        return np.zeros(0, bool)
+    order = np.argsort(rows["content"])
+    c = rows["content"][order]
+    same = np.append(c[1:] == c[:-1], False)
+    order = order[same | np.append(False, same[:-1])]
+    got = rows[order]
+    order = order[np.lexsort((got["start"], got["tie"], got["doc"], got["anchor"], got["content"]))]
+    got = rows[order]
+    later = np.zeros(rows.size, bool)
+    later[order[1:]] = (got["content"][1:] == got["content"][:-1]) & (got["anchor"][1:] == got["anchor"][:-1])
+    return later
+
+
+def spans_of(rows: np.ndarray) -> np.ndarray:
+    """The bytes of cuts as spans."""
+    spans = np.empty(rows.size, SPAN)
+    for c in SPAN.names:
+        spans[c] = rows[c]
+    return spans
+
+
 def cut_rows(df: DataFrame, parts: int, length: int, anchor: int) -> DataFrame:
-    """All cuts, packed, dealt by anchor."""
+    """Kind 1: cuts, packed, dealt by anchor; kind 0: spans of cuts that the same batch has before, dealt by document.
+
+    So a passage that very many documents hold reaches its anchors' owners once for each batch.
+    """
 
     def run(batches):
         gc.disable()
@@ -105,7 +132,11 @@ def cut_rows(df: DataFrame, parts: int, length: int, anchor: int) -> DataFrame:
             offset = np.array([o for _, o in docs], np.int64)
             rows["anchor"], rows["content"], rows["doc"], rows["tie"] = a, content, doc[which], tie[which]
             rows["start"], rows["size"], rows["at"] = start + offset[which], size, at
-            return dealt(rows, (a >> np.uint64(40)) % np.uint64(parts))
+            later = later_copies(rows)
+            spans, rows = spans_of(rows[later]), rows[~later]
+            if spans.size:
+                yield dealt(spans, _block(spans["doc"], spans["tie"], parts), 0)
+            yield dealt(rows, (rows["anchor"] >> np.uint64(40)) % np.uint64(parts), 1)
 
         docs, keys, held = [], [], 0
         for b in batches:
@@ -118,19 +149,27 @@ def cut_rows(df: DataFrame, parts: int, length: int, anchor: int) -> DataFrame:
                     keys.append(key)
                     held += len(docs[-1][0])
                     if held >= CHUNK:
-                        yield flush(docs, keys)
+                        yield from flush(docs, keys)
                         docs, keys, held = [], [], 0
         if docs:
-            yield flush(docs, keys)
+            yield from flush(docs, keys)
 
     return arrow_map(df, run, PACKED, rows=500)
 
 
 def settle_equal_cuts(rows: DataFrame, parts: int) -> DataFrame:
-    """Kind 0: spans of cuts that are not the first of their content; kind 1: the first cuts of anchors with several contents."""
+    """Kind 0: spans of cuts that are not the first of their content (those found before pass through); kind 1: the
+    first cuts of anchors with several contents."""
 
     def run(batches):
-        data = [d for b in batches for d in b.column(3).to_pylist()]
+        data = []
+        for b in batches:
+            cut = b.column(0).to_numpy() == 1
+            if not cut.all():
+                yield b.filter(pa.array(~cut))
+            data += b.filter(pa.array(cut)).column(3).to_pylist()
+        if not data:
+            return
         got = unpacked(data, CUT)
         del data
         order = np.argsort(got["anchor"])
@@ -145,10 +184,7 @@ def settle_equal_cuts(rows: DataFrame, parts: int) -> DataFrame:
             return
         new_anchor = np.append(True, got["anchor"][1:] != got["anchor"][:-1])
         first = new_anchor | np.append(True, got["content"][1:] != got["content"][:-1])
-        later = got[~first]
-        spans = np.empty(later.size, SPAN)
-        for c in SPAN.names:
-            spans[c] = later[c]
+        spans = spans_of(got[~first])
         yield dealt(spans, _block(spans["doc"], spans["tie"], parts), 0)
         got, group = got[first], (np.cumsum(new_anchor) - 1)[first]
         asked = got[np.bincount(group)[group] > 1]
@@ -363,6 +399,8 @@ def settle_shared_strings(strings: DataFrame, parts: int, length: int, anchor: i
             for n, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 heads.append(d[:n * CUT.itemsize])
                 tails.append(d[n * CUT.itemsize:])
+        if not heads:
+            return
         rows, data = unpacked(heads, CUT), np.frombuffer(b"".join(tails), np.uint8)
         del heads, tails
         size = rows["size"].astype(np.int64)

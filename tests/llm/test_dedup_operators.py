@@ -177,7 +177,7 @@ def test_op9_odd_cases(spark):
     assert len(got) == len(ODD)
     by = {r.doc_id: r for r in got}
     assert by[1].n_bytes == 0 and bytes(by[1].kept) == b"" and by[None].n_removed == 0
-    assert by[6].n_removed > 200_000 and by[8].n_removed > 0
+    assert by[6].n_removed > 190_000 and by[8].n_removed > 0
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     rows = suffix_dedup.without_repeats(wide(spark))
     assert rows.columns == wide(spark).columns and rows.count() == len(ODD)
