@@ -290,7 +290,10 @@ class Encoder:
         if late:
             self.learn(list({w for i in late for w, got in zip(split[i], found[i]) if got is None}))
             for i in late:
-                found[i] = map(get, split[i])
+                got, words, at = found[i], split[i], -1
+                for _ in range(got.count(None)):
+                    at = got.index(None, at + 1)
+                    got[at] = get(words[at])
         joined = [",".join(got) for got in found]
         return [(s, s.count(",") + 1 if s else 0, b"".join(map(self.raw.__getitem__, words))) for s, words in zip(joined, split)]
 
