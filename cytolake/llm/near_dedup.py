@@ -41,6 +41,8 @@ from cytolake.llm.components import connected_components
 #: Chunks of a signature, symbols in each, errors allowed in a candidate.
 CHUNKS, WIDTH, MOST_ERRORS = 12, 5, 28
 SYMBOLS = CHUNKS * WIDTH
+#: Words that a worker remembers the hashes of.
+REMEMBERED = 150_000
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 80
 _ODD = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -90,7 +92,7 @@ def signed(df: DataFrame, words: int) -> DataFrame:
         gc.disable()
         memory = _Words()
         for b in batches:
-            if len(memory) > 500_000:
+            if len(memory) > REMEMBERED:
                 memory.clear()
             sets = [shingles(t, words, memory) for t in byte_texts(b.column(1))]
             yield pa.record_batch([
@@ -98,7 +100,7 @@ def signed(df: DataFrame, words: int) -> DataFrame:
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets], pa.binary()),
                 pa.array([signature(s).tobytes() if s.size else None for s in sets], pa.binary())], schema=schema)
 
-    return arrow_map(columns(df, doc_id="bigint", text="string"), run, SIGNED)
+    return arrow_map(columns(df, doc_id="bigint", text="string"), run, SIGNED, rows=200)
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
@@ -146,12 +148,12 @@ def full_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         gc.disable()
         memory = _Words()
         for b in batches:
-            if len(memory) > 500_000:
+            if len(memory) > REMEMBERED:
                 memory.clear()
             yield pa.record_batch([b.column(0), pa.array([shingles(t, words, memory).tobytes() for t in byte_texts(b.column(1))], pa.binary())], schema=schema)
 
     rows = df.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return arrow_map(rows.select("doc_id", "text"), run, "node bigint, hashes binary", rows=500)
+    return arrow_map(rows.select("doc_id", "text"), run, "node bigint, hashes binary", rows=200)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,7 +174,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", rows=200)
+    return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", rows=50)
 
 
 def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
