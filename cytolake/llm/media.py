@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.llm.common import arrow_map, arrow_schema, columns, staged, table
+from cytolake.llm.components import connected_components
 
 #: Scales, radius of a descriptor's patch, tests in it, parts of the tables, differing bits of a match.
 SCALES, RADIUS, BITS, TABLES, MOST_BITS = (1.0, 0.7071), 13, 120, 5, 16
@@ -273,7 +274,26 @@ def pictures(vectors: DataFrame, copies: bool = False) -> DataFrame:
     return arrow_map(rows.where("vec_id % 100 = 0") if copies else rows, run, "id bigint, image binary")
 
 
+def copy_classes(images: DataFrame, found: DataFrame) -> DataFrame:
+    """``id, class_id, n_links, found`` of every image: its class under the links of a search, the class's smallest id
+    standing for it, the number of queries that it is a match of, and whether the query of its own id (if there is one)
+    found it. Linear in the images however large a class is.
+
+    ``found`` comes from :func:`find_copies`, a query's id being that of the image that it was made from. Byte-equal
+    images have the class of their representative; a null id has no class.
+    """
+    images = columns(images, id="bigint", image="binary")
+    links = found.groupBy(F.col("match_id").alias("first")).agg(F.count("*").alias("n_links"), F.max(F.col("query_id") == F.col("match_id")).alias("found"))
+    same = images.where("id is not null and image is not null").groupBy("image").agg(F.min("id").alias("first"))
+    member = staged(images.join(same, "image", "left").select("id", F.coalesce("first", "id").alias("first")), "members")
+    edges = found.select("query_id", "match_id").unionByName(member.where("id is not null").select(F.col("id").alias("query_id"), F.col("first").alias("match_id")))
+    classes = connected_components(edges)
+    rows = member.join(classes, F.col("id") == F.col("node"), "left").join(links, "first", "left")
+    return rows.select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no pictures, so each vector is drawn as one; edited copies of every hundredth are searched among all."""
     vectors = table(spark, sf_dir, "embeddings")
-    return find_copies(pictures(vectors, copies=True), pictures(vectors))
+    images = staged(pictures(vectors), "pictures")
+    return copy_classes(images, staged(find_copies(pictures(vectors, copies=True), images), "found"))

@@ -64,11 +64,14 @@ def test_tables_keep_every_pair_within_the_guarantee():
 
 
 def test_op3_finds_every_edited_copy(spark):
-    sf = "/root/testdata/sf0.01"
-    asked = {r.vec_id for r in table(spark, sf, "embeddings").where("vec_id % 100 = 0").collect()}
-    got = QUERIES["op3_media_copies"](spark, sf).collect()
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
+    asked = {r.vec_id for r in vectors.where("vec_id % 100 = 0").collect()}
+    got = media.find_copies(media.pictures(vectors, copies=True), media.pictures(vectors)).collect()
     assert {r.query_id for r in got if r.match_id == r.query_id} == asked
     assert all(r.turn in ((7, 8, 9) if r.query_id // 100 % 4 == 2 else (31, 0, 1)) for r in got if r.match_id == r.query_id)
+    rows = QUERIES["op3_media_copies"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == vectors.count() and {r.id for r in rows if r.found} == asked
+    assert all(r.class_id <= r.id for r in rows) and sum(r.n_links for r in rows) == len(got)
 
 
 def test_op3_copies_classes_and_odd_rows(spark):
@@ -79,6 +82,9 @@ def test_op3_copies_classes_and_odd_rows(spark):
     got = media.find_copies(spark.createDataFrame(asked, "id bigint, image binary"), images).collect()
     assert {(r.query_id, r.match_id) for r in got} == {(100 + i, i) for i in range(8)}
     assert {r.match_id: r.class_size for r in got}[4] == 3
+    found = spark.createDataFrame([(100, 0), (100, 2), (7, 2), (7, 4)], "query_id bigint, match_id bigint")
+    classes = {r.id: (r.class_id, r.n_links, r.found) for r in media.copy_classes(images, found).collect()}
+    assert classes[4] == classes[30] == (0, 1, False) and classes[2] == (0, 2, False) and classes[7] == (0, 0, False) and classes[31] == (31, 0, False) and classes[None][0] is None
     assert media.find_copies(images.limit(0), images).count() == 0 and media.find_copies(images, images.limit(0)).count() == 0
 
 
