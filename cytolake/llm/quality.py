@@ -7,11 +7,14 @@ a hidden vector; gated attention (Ilse, Tomczak and Welling, 2018), learned with
 document labels alone, weighs the passages, and the score is read from the weighted sum.
 
 Trained with Adam on the driver from a sample of at most ``TRAINING_ROWS`` labelled
-documents and ``TRAINING_PASSAGES`` passages (documents are taken while they fit, by a
-hash of their id); everything is scored, in one pass.
+documents.  All of them are in the fit: where they have more than ``TRAINING_PASSAGES``
+passages, neighbouring passages of the longest are averaged until the number fits, so
+that a long text counts whole and costs no other its place.  Everything is scored, in
+one pass.
 
 Defined cases: a null or empty text is a bag of one empty passage and has a score;
-without any labels of both kinds every score is the share of ones (0.5 without labels);
+without any labels of both kinds every score is the share of ones (0.5 without labels)
+and, as nothing speaks against a document, ``keep_quality`` keeps every row;
 repeated rows and null ids pass through row by row; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -132,6 +135,26 @@ class GatedAttention:
         return self.forward((x - self.mean) * self.scale, count)["score"].astype(float)
 
 
+def passages_each(sizes: dict[int, int], most: int) -> int:
+    """The largest number of passages that a document may have if all together are to have at most ``most`` (at least
+    one); ``sizes`` says how many documents have how many passages."""
+    left, rows = most, sum(sizes.values())
+    for k in sorted(sizes):
+        if k * rows > left:
+            return max(1, left // rows)
+        left -= k * sizes[k]
+        rows -= sizes[k]
+    return max(sizes, default=1)
+
+
+def averaged(x: np.ndarray, most: int) -> np.ndarray:
+    """A document's passages in at most ``most`` rows, each the mean of neighbouring ones."""
+    if len(x) <= most:
+        return x
+    edge = np.arange(most + 1) * len(x) // most
+    return np.add.reduceat(x, edge[:-1]) / np.diff(edge)[:, None].astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, most_passages: int = TRAINING_PASSAGES) -> GatedAttention:
     """Fit the model on the training sample; its passages' features are all that comes to the driver."""
     ddl = "doc_id bigint, label int, n bigint, features binary"
@@ -140,18 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, most_pa
     def run(batches):
         for b in batches:
             for d, y, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_texts(b.column(1))):
-                x, count = passages([t])
-                yield pa.record_batch([pa.array([d]), pa.array([y], pa.int32()), pa.array(count), pa.array([x.astype(np.float16).tobytes()])], schema=schema)
-
-    from pyspark.sql import Window
+                x = averaged(passages([t])[0], most)
+                yield pa.record_batch([pa.array([d]), pa.array([y], pa.int32()), pa.array([len(x)]), pa.array([x.astype(np.float16).tobytes()])], schema=schema)
 
-    # Documents in the order of a hash, while their passages fit; the running sum is over a bounded sample of rows.
     sample = training_documents(docs, labels, "quality", rows)
-    sized = sample.withColumn("k", F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)))
-    ids = sized.select("doc_id", F.sum("k").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
-    chosen = [r.doc_id for r in ids.where(F.col("sum") <= most_passages).collect()]
-    few = docs.sparkSession.createDataFrame([(d,) for d in chosen], "doc_id bigint")
-    got = arrow_map(sample.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "text", "label"), run, ddl).collect()
+    sizes = sample.groupBy(F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)).alias("k")).agg(F.count("*").alias("rows")).collect()
+    most = passages_each({r.k: r.rows for r in sizes}, most_passages)
+    got = arrow_map(sample.select("doc_id", "text", "label"), run, ddl).collect()
     got.sort(key=lambda r: r.doc_id)
     x = np.concatenate([np.frombuffer(r.features, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
     return GatedAttention(WIDTH).fit(x, np.array([r.n for r in got], np.int64), np.array([r.label for r in got], np.float32))
@@ -177,7 +195,9 @@ def score_quality(df: DataFrame, model: GatedAttention, threshold: float = THRES
 
 
 def keep_quality(df: DataFrame, model: GatedAttention, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, of documents that the model doesn't reject."""
+    """The rows, with all their columns, of documents that the model doesn't reject; all rows if it had no labels of both kinds."""
+    if model.constant is not None:
+        return df
     held, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index("text")
 
     def run(batches):

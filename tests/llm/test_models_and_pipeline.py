@@ -60,6 +60,35 @@ def test_op6_whole_texts_count():
     assert m[0] >= n[0] > 20 and not np.allclose(a[-1], b[-1])
 
 
+def test_op6_long_labelled_text_costs_no_other_its_place(spark):
+    """Labelled texts longer than the whole sample's passages leave the others in the fit."""
+    good, bad = "plain words follow each other here. ", "### $$$ !!! BUY 123 "
+    ids = [i for i in range(1, 200) if not held_out(i)][:40]
+    for long in (ids[:1], ids):
+        rows = [(i, (good if i % 2 else bad) * (2000 if i in long else 20)) for i in ids]
+        docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+        model = quality.train(docs, labels, most_passages=60)
+        assert model.constant is None
+        assert {r.doc_id: r.predicted for r in quality.score_quality(docs, model).collect()} == {i: i % 2 for i in ids}
+
+
+def test_op6_passages_each():
+    assert quality.passages_each({1: 10, 5: 2}, 20) == 5 and quality.passages_each({1: 10, 5: 2}, 19) == 4
+    assert quality.passages_each({40_000: 1, 4: 3999}, 40_000) == 40_000 - 4 * 3999
+    assert quality.passages_each({7: 5}, 3) == 1 and quality.passages_each({}, 3) == 1
+    x = np.arange(10, dtype=np.float32)[:, None]
+    assert quality.averaged(x, 10) is x and quality.averaged(x, 4)[:, 0].tolist() == [0.5, 3.0, 5.5, 8.0]
+
+
+def test_quality_stage_keeps_all_without_labels_of_both_kinds(spark, tmp_path):
+    docs = plain(spark)
+    for rows in ([], [(3, 0), (10, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id bigint, quality int")
+        assert quality.keep_quality(docs, quality.train(docs, labels)).count() == len(ODD)
+        labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == len(ODD)
+
+
 def test_op8_held_out_accuracy(spark):
     labels = {r.doc_id: r.toxic for r in table(spark, MIDDLE, "labels").collect()}
     got = QUERIES["op8_toxicity"](spark, MIDDLE).collect()
