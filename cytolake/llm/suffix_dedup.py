@@ -92,10 +92,19 @@ def _block(doc: np.ndarray, tie: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64) ^ tie) % np.uint64(parts)).astype(np.int32)
 
 
-def later_copies(rows: np.ndarray) -> np.ndarray:
-    """Which cuts come after another one with the same anchor and content."""
+def once_more(rows: np.ndarray) -> np.ndarray:
+    """Which of some cuts in the order of all these columns are the one before once more, from a repeated row."""
+    same = np.append(False, np.ones(max(0, rows.size - 1), bool))[:rows.size]
+    for c in ("anchor", "content", "doc", "tie", "start"):
+        same[1:] &= rows[c][1:] == rows[c][:-1]
+    return same
+
+
+def later_copies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which cuts come after another one with the same anchor and content, and which of these are that one itself once
+    more, from a repeated row."""
     if not rows.size:
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, bool)
     order = np.argsort(rows["content"])
     c = rows["content"][order]
     same = np.append(c[1:] == c[:-1], False)
@@ -103,9 +112,10 @@ def later_copies(rows: np.ndarray) -> np.ndarray:
     got = rows[order]
     order = order[np.lexsort((got["start"], got["tie"], got["doc"], got["anchor"], got["content"]))]
     got = rows[order]
-    later = np.zeros(rows.size, bool)
+    later, again = np.zeros(rows.size, bool), np.zeros(rows.size, bool)
+    again[order] = once_more(got)
     later[order[1:]] = (got["content"][1:] == got["content"][:-1]) & (got["anchor"][1:] == got["anchor"][:-1])
-    return later
+    return later, again
 
 
 def spans_of(rows: np.ndarray) -> np.ndarray:
@@ -132,8 +142,8 @@ def cut_rows(df: DataFrame, parts: int, length: int, anchor: int) -> DataFrame:
             offset = np.array([o for _, o in docs], np.int64)
             rows["anchor"], rows["content"], rows["doc"], rows["tie"] = a, content, doc[which], tie[which]
             rows["start"], rows["size"], rows["at"] = start + offset[which], size, at
-            later = later_copies(rows)
-            spans, rows = spans_of(rows[later]), rows[~later]
+            later, again = later_copies(rows)
+            spans, rows = spans_of(rows[later & ~again]), rows[~later]
             if spans.size:
                 yield dealt(spans, _block(spans["doc"], spans["tie"], parts), 0)
             yield dealt(rows, (rows["anchor"] >> np.uint64(40)) % np.uint64(parts), 1)
@@ -179,6 +189,7 @@ def settle_equal_cuts(rows: DataFrame, parts: int) -> DataFrame:
         got = got[order[several]]
         order = np.lexsort((got["start"], got["tie"], got["doc"], got["content"], got["anchor"]))
         got = got[order]
+        got = got[~once_more(got)]
         del order, a, same, several
         if not got.size:
             return

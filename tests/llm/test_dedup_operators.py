@@ -181,3 +181,25 @@ def test_op9_odd_cases(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     rows = suffix_dedup.without_repeats(wide(spark))
     assert rows.columns == wide(spark).columns and rows.count() == len(ODD)
+
+
+@pytest.mark.parametrize("chunk,partitions", [(2 << 20, 1), (400, 1), (2 << 20, 4)])
+def test_op9_repeated_rows_are_one_document(spark, monkeypatch, chunk, partitions):
+    """Repeated rows, in one batch, in several and in several partitions, lose only what starts earlier."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(900), text(300), text(150)
+    docs = [(1, a), (2, b + text(50)), (3, text(200) + c + text(120) + c), (4, a[100:500] + text(120)), (5, b), (6, "ab" * 200)]
+    rows = [r for r in docs for _ in range(3 if r[0] in (1, 3, 4, 6) else 1)] + [(None, text(300))] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(partitions)
+    got = suffix_dedup.remove_repeats(df, digest=True).collect()
+    assert len(got) == len(rows)
+    last = [r for r in got if r.doc_id is None]
+    assert len(last) == 2 and all(r.n_removed == 0 for r in last)
+    for r in got:
+        if r.doc_id is not None:
+            ((have, want),) = [x for (i, _), x in zip(docs, removal([(i, t.encode()) for i, t in docs], {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, _ in docs}, 100)) if i == r.doc_id]
+            assert have == want
+    kept = [r.text for r in suffix_dedup.without_repeats(df).where("doc_id = 1").collect()]
+    assert kept == [a] * 3
