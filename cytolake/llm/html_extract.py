@@ -4,9 +4,13 @@ Markup is stripped into lines (a block-level tag or ``<br>`` ends a line).  Ever
 has a weight, the length of its text that may be content: text inside menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments weighs nothing, link
 text outside an article weighs nothing, and if the page marks an article then nothing
-outside it weighs anything.  Weights are summed over a sliding window of lines; a run
-opens where the sum surges over a threshold and ends where it dives to zero, and the
-text of the lines between that have weight is kept, in page order, joined by newlines.
+outside it weighs anything.  Of a page with a marked article, every line of it is kept.
+On other pages weights are summed over a sliding window of lines.  Where a window's sum
+surges over a threshold, there is a main run: it goes from the first to the last line
+with weight, and lines of nothing but link text belong to it unless so many of them
+open or close the page that a window's sum is zero (a menu, a list of links).  Every
+line of the run that isn't boilerplate is kept; if no window surges, every line of the
+page that isn't.  Lines are kept in page order, joined by newlines.
 
 Defined cases: null html is empty and gives an empty text; truncated pages and unclosed
 tags are read to the end; repeated rows and null ids pass through row by row; an empty
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cytolake.llm.common import arrow_map, arrow_schema, columns, table, texts
 
-#: Lines in a window, and the sum that opens a run on a page without a marked article.
+#: Lines in a window, and the sum that shows a main run on a page without a marked article.
 WINDOW, SURGE = 3, 86
 
 _TOKEN = re.compile(
@@ -135,22 +139,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; see the module's text."""
     lines = page_lines(page or "")
-    marked = any(article and not bad for _, _, bad, article in lines)
-    weights = np.array([0 if bad else (len(t) if article else 0) if marked else max(0, len(t) - links) for t, links, bad, article in lines], np.int64)
-    if not weights.size:
-        return ""
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1:]  # of the lines i to i + window - 1
-    least = 1 if marked or weights.sum() < surge else surge
-    kept, inside = [], False
-    for i, (line, w) in enumerate(zip(lines, weights)):
-        # A window's sum rises before its first heavy line, so the surge point is the first line with weight.
-        if not inside and w and sums[i] >= least:
-            inside = True
-        elif inside and sums[i] == 0:
-            inside = False
-        if inside and w:
-            kept.append(line[0])
-    return "\n".join(kept)
+    lines = [x for x in lines if not x[2]]
+    if any(article for *_, article in lines):
+        return "\n".join(t for t, _, _, article in lines if article)
+    weights = np.array([max(0, len(t) - links) for t, links, _, _ in lines], np.int64)
+    first, last = 0, weights.size
+    if last and np.convolve(weights, np.ones(window, np.int64)).max() >= surge:
+        heavy = np.flatnonzero(weights)
+        first = heavy[0] if heavy[0] >= window else 0
+        last = heavy[-1] + 1 if last - 1 - heavy[-1] >= window else last
+    return "\n".join(t for t, *_ in lines[first:last])
 
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint"

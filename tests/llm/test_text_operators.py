@@ -71,6 +71,21 @@ def test_op4_pages():
     assert html_extract.main_text("<article><p>a<!-- <p>no</p> --> b</p><script>no") == "a b"
 
 
+def test_op4_unmarked_pages_keep_every_line():
+    """Without a marked article: short lines, however many, short ends, and paragraphs of link text."""
+    short = [f"Line {i} here." for i in range(40)]
+    for lines in (short[:4], short, ["短い段落です。"] * 30, short[:20] + ["word " * 30 + "end."], ["word " * 30 + "end.", *short]):
+        for page in ("".join(f"<p>{x}</p>" for x in lines), "<br>".join(lines)):
+            assert html_extract.main_text(PAGE % f"<div>{page}</div>") == "\n".join(lines)
+    long, menu = "word " * 40 + "end.", "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(5))
+    advert = "".join(f"<div class=ad>Buy {i}</div>" for i in range(5))
+    assert html_extract.main_text(f"<p>{long}</p>{advert}<p>Goodbye.</p>") == f"{long}\nGoodbye."
+    assert html_extract.main_text(f"<p>{long}</p><ul>{menu}</ul><p>Goodbye.</p>").endswith("\nGoodbye.")
+    assert html_extract.main_text(f"<p>{long}</p><p><a href=/x>All of this is a link.</a></p><p>{long}</p>") == f"{long}\nAll of this is a link.\n{long}"
+    assert html_extract.main_text(f"<ul>{menu}</ul><p>{long}</p><p>Short.</p><p><a href=/x>Last.</a></p>") == f"{long}\nShort.\nLast."
+    assert html_extract.main_text(f"<ul>{menu}</ul><p>{long}</p><ul>{menu}</ul>") == long
+
+
 def test_op4_takes_each_page(spark, tiny):
     """The pages' articles, by a plain reading of the one form that they have."""
     import html
