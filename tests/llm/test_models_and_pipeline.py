@@ -108,6 +108,24 @@ def test_op8_restores_disguised_words(spark, tiny):
     assert out[3] == "one two three four five six" and out[1] == ""
 
 
+def test_op8_restores_words_of_any_length_and_runs_of_words(spark):
+    model = toxicity.train(documents(spark, MIDDLE), labels_of(spark, MIDDLE)).model
+    for n in (5, 60, 5000):
+        assert toxicity.restored("l" + "o" * n + "ser", model) == "loser"
+    apart = " ".join
+    for words, bad in (("you idiot", "idiot"), ("you are a loser", "loser"), ("that person is an idiot and they know that", "idiot")):
+        letters = words.replace(" ", "")
+        for token in (apart(letters), ".".join(letters), "-".join(letters)):
+            assert bad in toxicity.restored(token, model).split()
+    assert toxicity.restored(apart("thatisanidiotand"), model) == "that is an idiot and"
+    assert toxicity.restored("x1" + "the" * 30000, model).endswith("thethe")
+    scorer = toxicity.Scorer(model, {"idiot": 3.0, "loser": 2.0, "moron~": 1.5}, np.ones(5))
+    for text in ("w e l l y o u i d i o t", "y.o.u.i.d.i.o.t", "t h a t p e r s o n i s a n i d i o t a n d t h e y k n o w"):
+        assert scorer.evidence(text)[0] == 3.0
+    assert scorer.evidence("y o u l o s e r y o u i d i o t")[2] == np.log1p(2)
+    assert toxicity.Scorer(model, {"youidiot": 2.5}).evidence("y o u i d i o t")[0] == 2.5
+
+
 def test_op8_finds_disguised_toxic_documents(spark):
     docs = documents(spark, MIDDLE)
     scorer = toxicity.train(docs, labels_of(spark, MIDDLE))
