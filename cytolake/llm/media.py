@@ -1,11 +1,11 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Images are binary columns in PNG (8 bits, not interlaced) or portable grey or pixel maps.
-At several scales, corners (Harris) are found; around each, the direction to the centre
+At four scales an octave, as many octaves as the image has, corners (Harris) are found; around each, the direction to the centre
 of intensity turns a fixed set of binary intensity tests, whose outcomes are the
 descriptor (``BITS`` bits).  Descriptors are split into ``TABLES`` parts; descriptors
-with at most ``TABLES - 1`` different bits agree in some part, and meet there in an
-equi-join.  Each pair of descriptors within ``MOST_BITS`` bits votes for the movement
+with at most ``2 * TABLES - 1`` different bits have a part with at most one, and meet there
+in an equi-join, as queries are looked up by each part and by all that differ from it in one bit.  Each pair of descriptors within ``MOST_BITS`` bits votes for the movement
 (turn, scale, shift) that takes one corner to the other; an image is a match if enough
 corners of the query agree on one movement.  Votes are counted by aggregation, so no
 image's candidates are gathered.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from cytolake.llm.common import arrow_map, arrow_schema, columns, staged, table
 from cytolake.llm.components import connected_components
 
-#: Scales, radius of a descriptor's patch, tests in it, parts of the tables, differing bits of a match.
-SCALES, RADIUS, BITS, TABLES, MOST_BITS = (1.0, 0.7071), 13, 120, 5, 16
+#: Scales in an octave, radius of a descriptor's patch, tests in it, parts of the tables, differing bits of a match.
+STEPS, RADIUS, BITS, TABLES, MOST_BITS = 4, 13, 120, 5, 16
 #: Corners closer than this are one; share of the image's strongest response that a corner needs.
 APART, LEAST_RESPONSE = 4, 0.02
 #: Turns in a circle, side of a bin of shifts in pixels, corners that must agree.
@@ -149,10 +149,13 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def descriptors(x: np.ndarray) -> tuple[np.ndarray, ...]:
     """``image, x, y, scale number, turn, bits`` of a stack of images of one size; places are in whole-size pixels."""
     out = []
-    for level, scale in enumerate(SCALES):
-        s = x if scale == 1 else resized(x, scale)
+    for level in range(STEPS * max(x.shape).bit_length()):
+        scale = 2.0 ** (-level / STEPS)
+        if level and level % STEPS == 0:
+            x = resized(x, 0.5)  # means of four pixels
+        s = resized(x, 2.0 ** (-(level % STEPS) / STEPS)) if level % STEPS else x
         if min(s.shape[-2:]) < 2 * RADIUS + 4:
-            continue
+            break
         smooth = _sum(s, 1) / 9
         i, y, z = corners(smooth)
         if not i.size:
@@ -195,11 +198,15 @@ def describe(df: DataFrame) -> DataFrame:
     return arrow_map(df.select("id", "image"), run, DESCRIBED, rows=64)
 
 
-def _parts(described: DataFrame, prefix: str) -> DataFrame:
-    """One row for each part of a descriptor: ``part`` and its ``key``."""
+def _parts(described: DataFrame, prefix: str, neighbours: bool = False) -> DataFrame:
+    """One row for each part of a descriptor: ``part`` and its ``key``; with ``neighbours`` also for each key one bit away."""
     width = BITS // 8 // TABLES
-    cut = [F.struct(F.lit(t).alias("part"), F.substring("bits", t * width + 1, width).alias("key")) for t in range(TABLES)]
-    return described.select(F.explode(F.array(*cut)).alias("k"), *[F.col(c).alias(f"{prefix}_{c}") for c in described.columns]).select("k.part", "k.key", *[f"{prefix}_{c}" for c in described.columns])
+    number = lambda t: F.conv(F.hex(F.substring("bits", t * width + 1, width)), 16, 10).cast("bigint")
+    flips = [0, *(1 << k for k in range(8 * width))] if neighbours else [0]
+    cut = [F.struct(F.lit(t).alias("part"), number(t).alias("key")) for t in range(TABLES)]
+    rows = described.select(F.explode(F.array(*cut)).alias("k"), *[F.col(c).alias(f"{prefix}_{c}") for c in described.columns])
+    rows = rows.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("bigint") for x in flips])))
+    return rows.select("k.part", F.col("k.key").bitwiseXOR(F.col("flip")).alias("key"), *[f"{prefix}_{c}" for c in described.columns])
 
 
 def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BITS, agree: int = AGREE) -> DataFrame:
@@ -211,24 +218,24 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     classes = staged(images.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.count("*").alias("class_size")), "images")
     asked = queries.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids"))
     asked = staged(asked, "queries")
-    left, right = _parts(staged(describe(asked), "asked"), "q"), _parts(staged(describe(classes), "described"), "m")
+    left, right = _parts(staged(describe(asked), "asked"), "q", True), _parts(staged(describe(classes), "described"), "m")
     both = left.join(right, ["part", "key"])
     different = sum((F.bit_count(F.conv(F.hex(F.substring("q_bits", i * 3 + 1, 3)), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.hex(F.substring("m_bits", i * 3 + 1, 3)), 16, 10).cast("bigint"))) for i in range(BITS // 24)), F.lit(0))
     near = both.where(different <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
-    sizes = F.array(*map(F.lit, SCALES))
     turn = (F.col("m_turn") - F.col("q_turn") + TURNS) % TURNS
-    scale = F.get(sizes, F.col("q_level")) / F.get(sizes, F.col("m_level"))
+    finer = F.col("m_level") - F.col("q_level")
+    scale = F.pow(F.lit(2.0), finer / STEPS)
     a = turn * F.lit(2 * np.pi / TURNS)
     dx = F.col("m_x") - scale * (F.cos(a) * F.col("q_x") - F.sin(a) * F.col("q_y"))
     dy = F.col("m_y") - scale * (F.sin(a) * F.col("q_x") + F.cos(a) * F.col("q_y"))
-    votes = near.select("q_id", "m_id", "q_corner", turn.alias("t"), F.round(F.log2(scale) * 2).cast("int").alias("s"), dx.alias("dx"), dy.alias("dy"))
+    votes = near.select("q_id", "m_id", "q_corner", turn.alias("t"), finer.alias("s"), dx.alias("dx"), dy.alias("dy"))
     # Bins overlap by half in the shifts and the turn, so that votes near a bin's edge meet in the next one.
     votes = votes.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7))))
     half = lambda bit: F.shiftright("o", bit).bitwiseAND(F.lit(1)) * F.lit(0.5)
     bins = votes.groupBy("q_id", "m_id", "s", "o", F.floor(F.pmod(F.col("t") / 4 + half(2), F.lit(TURNS / 4))).alias("tb"), F.floor(F.col("dx") / SHIFT + half(0)).alias("xb"),
                          F.floor(F.col("dy") / SHIFT + half(1)).alias("yb")).agg(F.countDistinct("q_corner").alias("n"), F.min("t").alias("t"))
     best = bins.where(F.col("n") >= agree).groupBy("q_id", "m_id").agg(F.max(F.struct("n", (-F.col("t")).alias("back"), "s")).alias("b"))
-    found = best.select("q_id", F.col("m_id").alias("match_id"), F.col("b.n").alias("n_corners"), (-F.col("b.back")).alias("turn"), F.pow(F.lit(2.0), F.col("b.s") / 2).alias("scale"))
+    found = best.select("q_id", F.col("m_id").alias("match_id"), F.col("b.n").alias("n_corners"), (-F.col("b.back")).alias("turn"), F.pow(F.lit(2.0), F.col("b.s") / STEPS).alias("scale"))
     found = found.join(classes.select(F.col("id").alias("match_id"), "class_size"), "match_id").join(asked.select(F.col("id").alias("q_id"), F.explode("ids").alias("query_id")), "q_id")
     return found.select("query_id", "match_id", "class_size", "n_corners", "turn", "scale")
 

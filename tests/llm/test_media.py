@@ -91,3 +91,23 @@ def test_op3_copies_classes_and_odd_rows(spark):
 def test_op3_vectors_with_nulls(spark):
     v = spark.createDataFrame([(0, [1.0, None, 2.0]), (100, None), (None, [1.0]), (1, [])], "vec_id bigint, embedding array<double>")
     assert media.pictures(v).count() == 4 and media.pictures(v, copies=True).count() == 2
+
+
+def test_op3_finds_resized_and_noisy_copies(spark):
+    """Copies at half and double size, between, and with noise; an image that isn't there is not found."""
+
+    def large(seed):
+        spots = media._sum(np.random.default_rng(seed).normal(size=(240, 240)).astype(np.float32), 4)
+        return np.clip(128 + 40 * spots / spots.std(), 0, 255).round()
+
+    images = spark.createDataFrame([(i, media.encode_pgm(large(i))) for i in range(12)], "id bigint, image binary")
+    rnd, asked = np.random.default_rng(1), {}
+    for k, scale in enumerate((0.5, 0.6, 0.8, 1.3, 2.0)):
+        for i in (0, 1, 2):
+            asked[100 + 10 * k + i] = (i, scale, media.resized(large(i).astype(np.float32), scale))
+    for i in (3, 4, 5):
+        asked[200 + i] = (i, 1.0, np.clip(large(i) + rnd.normal(0, 6, large(i).shape), 0, 255).round())
+    rows = [(q, media.encode_pgm(p)) for q, (_, _, p) in asked.items()] + [(300, media.encode_pgm(large(99)))]
+    got = {(r.query_id, r.match_id): r for r in media.find_copies(spark.createDataFrame(rows, "id bigint, image binary"), images).collect()}
+    assert set(got) == {(q, i) for q, (i, _, _) in asked.items()}
+    assert all(0.8 < got[q, i].scale * scale < 1.25 for q, (i, scale, _) in asked.items())
