@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -86,6 +87,101 @@ def test_op4_unmarked_pages_keep_every_line():
     assert html_extract.main_text(f"<ul>{menu}</ul><p>{long}</p><ul>{menu}</ul>") == long
 
 
+def test_op4_reads_broken_markup():
+    """Quotes inside unquoted values, tags that the page's end cuts off, paths that end in a slash, drawings left open."""
+    text = html_extract.main_text
+    assert text("<article><p title=don't>one two three</p><p>it is four five</p><p>that's six</p><p>last</p></article>") == "one two three\nit is four five\nthat's six\nlast"
+    assert text("<article><p title=\"a > b\" x='>'>one</p><p title=\"open>two</p><p>three</p></article>") == "one\ntwo\nthree"
+    assert text("<article><p>one<a href=/some/longer/path/index") == "one" and text("<div title=bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbdon't>rest") == "rest"
+    assert text("<article><script src=/x.js/>var a = 1;</script><p>one</p></article>") == "one"
+    assert text("<article><p>a < b <3 c</p><!--><p>one</p><!-- <p>no</p> --!><p>two</p><![CDATA[x]]></article>") == "a < b <3 c\none\ntwo"
+    assert text("<article><p>one <svg><title>no</title><p>two</p><svg/><p>three</p></article>") == "one\ntwo\nthree"
+    assert text("<article><p>Buy <span class=ad>no <span>no</span> no</span>nothing <select><option>no<option>no</select>now</p></article>") == "Buy nothing now"
+    assert text("<article><ul><li>a<li class=share-buttons>no<li>b</ul><table><tr><td>c<td class=ad>no<td>d<tr><td>e</table></article>") == "a\nb\nc\nd\ne"
+    assert text("<article><ul><li>a<ul><li>b</ul><li>c</ul></section></div></nav><p>d</article>") == "a\nb\nc\nd"
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<div ", "<a b='", '<a b="', "<div title=don't ", "</div><p", "<div>", "</section><div>", "<!--", "<!", "</script ", "<script", "<p class=a ", "<p class=", "<svg><p>", "&#", "<span class=ad>", "< ", "<p style='display     "])
+def test_op4_time_is_linear(piece):
+    """A megabyte of hostile bytes, after an article's start."""
+    import time
+
+    page = "<article><p>one</p>" + piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    assert html_extract.main_text(page).startswith("one")
+    html_extract.main_text("<article><p>one <div title=" + "b" * 1_000_000 + "don't")
+    html_extract.main_text("<article><p>one <div title='" + " a=" * 300_000)
+    assert time.perf_counter() - began < 8
+
+
+def test_op4_names_of_boilerplate():
+    """Names that only have a boilerplate word in them go by their share of link text."""
+    text, link = html_extract.main_text, "<a href=/x>Some link here</a> "
+    for name in ("class=share-price", "id=search-results", "class='notice-of-motion'", "class='content has-sidebar'", "class=market-share"):
+        assert text(f"<article><h1>T</h1><div {name}>Three point two.</div><p>End</p></article>") == "T\nThree point two.\nEnd"
+        assert text(f"<div {name}><p>Three point two.</p></div>") == "Three point two."
+    assert text(f"<article><h1>T</h1><div class=share-tools>On: {link}{link}</div><p>End</p></article>") == "T\nEnd"
+    for name in ("class=ad", "class='box share-buttons'", "id=site-footer", "class=post-comments", "class=td-sidebar", "role=search", "hidden", "class=cookie_notice", "style='display: none'"):
+        assert text(f"<article><h1>T</h1><div {name}>Three point two.</div><p>End</p></article>") == "T\nEnd"
+
+
+def test_op4_several_articles():
+    """Windows decide which of several articles are the page's: teasers don't surge."""
+    text, long = html_extract.main_text, "word " * 40 + "end."
+    teasers = "".join(f"<article><h2><a href=/{i}>Other story {i}</a></h2><p>Read on</p></article>" for i in range(3))
+    assert text(f"<main><h1>T</h1><article><p>{long}</p><p>Short.</p></article><h2>More</h2>{teasers}</main>") == f"T\n{long}\nShort.\nMore"
+    assert text(teasers) == "\n".join(f"Other story {i}\nRead on" for i in range(3))
+    assert text(f"{teasers}<article><p>{long}</p></article><article><p>{long} 2</p></article>") == f"{long}\n{long} 2"
+    assert text(f"<article><p>{long}</p><article class=comment>{long}</article><p>End</p></article>") == f"{long}\nEnd"
+
+
+class Model(HTMLParser):
+    """An independent reading of a page by the standard library's parser: blocks of an element that isn't boilerplate by its tag or exact class."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.run = [], [], []
+
+    def end(self):
+        block = " ".join("".join(self.run).split())
+        self.run = []
+        if block:
+            self.blocks.append(block)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "i", "a", "meta", "img", "em", "strong"):
+            return
+        self.end()
+        if tag not in ("p", "br", "li", "h1", "h2"):
+            self.open.append((tag, tag in ("nav", "footer", "aside", "form", "script", "style", "header", "title") or dict(attrs).get("class") in ("ad", "comments", "sidebar", "notice")))
+
+    def handle_endtag(self, tag):
+        if tag in ("b", "i", "a", "em", "strong"):
+            return
+        self.end()
+        names = [t for t, _ in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag):]
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(bad for _, bad in self.open):
+            self.run.append(data)
+
+
+def test_op4_against_a_block_model(spark):
+    """All pages of sf0.01 by the independent model."""
+    from cytolake.llm.common import table
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    got = {r.page_id: r.text for r in QUERIES["op4_html_extract"](spark, "/root/testdata/sf0.01").collect()}
+    for p in pages:
+        model = Model()
+        model.feed(p.html or "")
+        model.close()
+        model.end()
+        assert got[p.page_id] == "\n".join(model.blocks)
+
+
 def test_op4_takes_each_page(spark, tiny):
     """The pages' articles, by a plain reading of the one form that they have."""
     import html
