@@ -97,12 +97,23 @@ def test_op8_held_out_accuracy(spark):
     bad, good = [s for s, y in test if y], [s for s, y in test if not y]
     assert np.mean([b > g for g in good for b in bad]) > 0.9
     assert np.mean([(s >= 0.3) == y for s, y in test]) > 0.9
+    # A few documents are labelled toxic that hold no toxic word (labels' noise); all that hold one are caught.
+    texts = {r.doc_id: r.text for r in documents(spark, MIDDLE).collect()}
+    words = ("disgusting", "idiot", "trash", "worthless", "pathetic", "stupid", "loser", "clown", "scum", "moron")
+    plain = [r for r in got if r.held_out and labels.get(r.doc_id) and any(w in texts[r.doc_id].lower() for w in words)]
+    assert len(plain) > 5 and all(r.predicted for r in plain)
+    assert not any(r.predicted for r in got if r.held_out and labels.get(r.doc_id) == 0)
 
 
 def test_op8_restores_disguised_words(spark, tiny):
     model = toxicity.character_model(documents(spark, MIDDLE))
     for token, word in {"1d10t": "idiot", "idi0t,": "idiot", "i.d.i.o.t": "idiot", "l o s e r": "loser", "looooser": "loser", "m0r0n!!": "moron", "tr@sh": "trash", "the": "the", "The!!": "the", "2024": "2024", "a.b@c.org": "a.b@c.org"}.items():
         assert toxicity.restored(token, model) == word
+    # Kept signs are no word's edge, and true doubles stay.
+    for token, word in {"a55h0le": "asshole", "sch00l": "school", "g00d": "good", "st00pid": "stoopid", "g4rb4ge": "garbage", "b00k": "book", "w0rthl3ss": "worthless", "h3ll0": "hello", "l33t": "leet"}.items():
+        assert toxicity.restored(token, model) == word
+    assert toxicity.readings("iidi0t", model)[1:] == ["idiot"] and toxicity.readings("hello", model) == ["hello"]
+    assert toxicity.restored("привет1", model).startswith("привет")
     assert toxicity.tokens("you l o s e r now") == ["you", "now", "l o s e r"]
     out = {r.doc_id: r.restored for r in toxicity.restore(odd(spark), model).collect()}
     assert out[3] == "one two three four five six" and out[1] == ""
