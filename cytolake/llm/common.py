@@ -2,8 +2,8 @@
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by
 all executors on a cluster) as Parquet, so that a lost executor costs a re-read and
-not a recomputation.  Only where that setting is absent, as in unit tests, a folder
-is chosen here.
+not a recomputation.  Only where that setting is absent in a local session, as in unit
+tests, a folder is chosen here; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(spark, "_cytolake_dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark._cytolake_dir = "file://" + tempfile.mkdtemp(prefix="cytolake-")
     return own
 
@@ -39,6 +41,8 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len({c.lower() for c in df.columns}) < len(df.columns):  # names that a table can't have: number them
+        return staged(numbered(df)[0], name).toDF(*df.columns)
     writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -60,8 +64,15 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; a missing one is null. Extra columns go, also those whose names differ only in case
     or occur twice (the first of exactly that name is taken)."""
-    names, plain = df.columns, df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[(F.col(f"c{names.index(c)}") if c in names else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    plain, at = numbered(df)
+    return plain.select(*[(F.col(at[c]) if c in at else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with the columns ``c0, c1, ...``, which clash with no other, and the new name of each (of the first
+    that has exactly that name)."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(reversed(list(zip(df.columns, names))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ def training_documents(docs: DataFrame, labels: DataFrame, label: str, rows: int
     spark = docs.sparkSession
     chosen = [(r.doc_id, r.label) for r in training_labels(labels, label, rows).collect()]
     small = spark.createDataFrame(chosen, "doc_id bigint, label int")
-    return docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
+    return columns(docs, doc_id="bigint", text="string").join(F.broadcast(small), "doc_id")
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, staged
+from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, numbered, staged
 from cytolake.llm.components import connected_components
 
 #: Chunks of a signature, symbols in each, errors allowed in a candidate.
@@ -252,5 +252,12 @@ def near_components(df: DataFrame, words: int = 5) -> DataFrame:
     return rows.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def one_of_each(df: DataFrame, words: int = 5) -> DataFrame:
+    """The rows, with all their columns, of the documents that stay: of each component the smallest doc_id."""
+    plain, at = numbered(df)
+    kept = near_components(df, words).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return plain.join(kept, F.col(at["doc_id"]).cast("bigint").eqNullSafe(F.col("id")), "left_semi").toDF(*df.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), words=2)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, held_out
+from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, held_out, numbered
 from cytolake.llm.labelled import labels_of, training_documents
 
 PASSAGE = 512
@@ -199,6 +199,7 @@ def keep_quality(df: DataFrame, model: GatedAttention, threshold: float = THRESH
     if model.constant is not None:
         return df
     held, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index("text")
+    plain, _ = numbered(df)
 
     def run(batches):
         gc.disable()
@@ -206,7 +207,7 @@ def keep_quality(df: DataFrame, model: GatedAttention, threshold: float = THRESH
             if b.num_rows:
                 yield b.filter(pa.array(_scores(held.value, byte_texts(b.column(at))) >= threshold))
 
-    return arrow_map(df, run, df.schema, rows=500)
+    return arrow_map(plain, run, plain.schema, rows=500).toDF(*df.columns)
 
 
 def _scores(model: GatedAttention, raw: list[bytes]) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytolake.llm.anchors import cuts
-from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, shuffle_parts, staged
+from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, numbered, shuffle_parts, staged
 
 #: Bytes in a repeated string, and in an anchor.
 LENGTH, ANCHOR = 100, 24
@@ -497,8 +497,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
 
 def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """The rows with all their columns, ``text`` without its repeated strings. A character of which a part goes, goes."""
-    others = [c for c in df.columns if c not in ("doc_id", "text")]
-    held = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+    plain, at = numbered(df)
+    others = [c for c in plain.columns if c not in (at["doc_id"], at["text"])]
+    held = plain.select(F.col(at["doc_id"]).cast("bigint").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("none")).alias("rest"))
     spans, parts = _spans(held.select("doc_id", "text"), length, anchor)
 
     def run(batches):
@@ -508,7 +509,8 @@ def without_repeats(df: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.string()), *rest], ["doc_id", "text", "rest"])
 
     out = _with_texts(held, spans, parts).mapInArrow(run, held.schema)
-    return out.select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+    own = {at["doc_id"]: "doc_id", at["text"]: "text"}
+    return out.select(*[F.col(own.get(f.name, f"rest.{f.name}")).cast(f.dataType) for f in plain.schema]).toDF(*df.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

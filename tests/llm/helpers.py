@@ -14,9 +14,14 @@ def odd(spark) -> DataFrame:
     return df.select("doc_id", "text", F.lit("x").alias("key"), F.lit(None).cast("int").alias("rank"), F.lit(1).alias("part"), F.lit("y").alias("node"), F.lit("z").alias("TEXT_"), F.lit("t").alias("Doc_Id"))
 
 
+#: Names of extra columns: those that operators use inside, and those that differ from an input's only in case.
+CLASHING = "key rank part node rest _id _rows _own _digest TEXT Doc_Id _ c0 c1 none id sha256 n".split()
+
+
 def wide(spark) -> DataFrame:
-    """Extra columns whose names clash only with those inside the operators."""
-    return spark.createDataFrame(ODD, "doc_id bigint, text string").select("doc_id", "text", F.lit("x").alias("key"), F.lit(None).cast("int").alias("rank"), F.lit(1).alias("part"), F.lit("y").alias("node"), F.lit("z").alias("rest"))
+    """Extra columns of clashing names."""
+    df = spark.createDataFrame(ODD, "doc_id bigint, text string")
+    return df.select("doc_id", "text", *[F.lit(f"x{i}").alias(f"e{i}") for i in range(len(CLASHING))]).toDF("doc_id", "text", *CLASHING)
 
 
 def plain(spark) -> DataFrame:

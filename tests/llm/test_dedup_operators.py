@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -47,9 +48,37 @@ def test_op5_odd_cases(spark, capacity, remembered):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_op5_same_key_is_chained(spark):
-    rows = spark.createDataFrame([(1, "a" * 64, b"x"), (1, "a" * 64, b"y"), (1, "b" * 64, b"z"), (2, "c" * 64, b"x")], "key bigint, digest string, body binary").coalesce(1).sortWithinPartitions("key", "digest")
-    assert sorted((r.key, r.chain) for r in exact_dedup.own(rows).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+def test_op5_different_texts_with_one_digest_are_two_groups(spark):
+    """A forced collision, in one task and in several, with a directory of one bucket and of as many as can be."""
+    rows = [(1, "one"), (2, "two"), (3, "o n e"), (4, "two"), (5, "three"), (6, None), (7, "one")]
+    for partitions, capacity in ((1, 1), (4, 1000)):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(partitions)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, capacity, digest=lambda text: b"\xff" * 8 + bytes(24)).collect()}
+        assert got == {1: (3, 3, False), 3: (3, 3, True), 7: (3, 3, False), 2: (2, 2, True), 4: (2, 2, False), 5: (5, 1, True), 6: (6, 1, True)}
+
+
+def test_op5_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (1, "ab"), (2, "a  b"), (2, "a  b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (None, None), (4, " ")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['op5_exact_dedup']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert sum(r[3] for r in want) == 4
+    kept = exact_dedup.without_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(2, "a  b"), (3, "c"), (None, "d"), (4, " ")]))
+
+
+def test_op5_directory_goes_as_deep_as_it_must(spark):
+    """Keys that share their first 15 bits, in buckets of two."""
+    deep = [(k << 45) for k in range(16)]
+    depth, slots = exact_dedup.directory(spark.createDataFrame([(k,) for k in deep], "key bigint"), 2)
+    held = {}
+    for k in deep:
+        b = slots[k >> (64 - depth)]
+        held[b] = held.get(b, 0) + 1
+    assert depth > 16 and max(held.values()) <= 2
 
 
 def test_components(spark):

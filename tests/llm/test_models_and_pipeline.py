@@ -1,13 +1,17 @@
 """Quality, toxicity and the pipeline."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cytolake.llm import packing, quality, toxicity
-from cytolake.llm.common import documents, held_out, table
+from cytolake.llm.common import documents, held_out, staged, table
 from cytolake.llm.labelled import labels_of
 from cytolake.llm.registry import QUERIES
 from tests.llm import helpers
@@ -184,15 +188,41 @@ def test_pipeline_stages_keep_columns(spark, tiny):
 
 
 def test_pipeline_on_odd_rows(spark, tiny):
+    """Extra columns of clashing names come through each stage as they are."""
     df = wide(spark)
+    ids = lambda x: sorted(str(r[0]) for r in x.collect())
     exact = corpus_pipeline.exact(spark, df, tiny)
-    assert sorted(str(r.doc_id) for r in exact.collect()) == ["10", "11", "4", "5", "6", "7", "8", "9"]
+    assert ids(exact) == ["10", "11", "4", "5", "6", "7", "8", "9"]
     near = corpus_pipeline.near(spark, exact, tiny)
-    assert sorted(str(r.doc_id) for r in near.collect()) == ["10", "4", "5", "7", "8", "9"]
+    assert ids(near) == ["10", "4", "5", "7", "8", "9"]
+    own = {str(r[0]): tuple(r) for r in df.collect()}
+    for stage in (exact, near, corpus_pipeline.repeats(spark, near, tiny), corpus_pipeline.quality(spark, df, tiny)):
+        assert stage.columns == df.columns
+        assert all(tuple(r)[2:] == own[str(r[0])][2:] for r in stage.collect())
+    assert staged(exact, "clashing").columns == df.columns and corpus_pipeline.packing(spark, near, tiny).count() > 0
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.repeats):
         assert stage(spark, df.limit(0), tiny).count() == 0
 
 
+def test_repeats_stage_counts_characters_anew(spark, tiny):
+    df = wide(spark).select("*", F.lit(5).cast("int").alias("n_chars"), F.lit("x").alias("N_chars"))
+    got = {r[0]: tuple(r) for r in corpus_pipeline.repeats(spark, df, tiny).collect()}
+    assert got[9][-2:] == (len(got[9][1]), "x") and got[6][-2] == len(got[6][1]) < 1000
+
+
+def test_entry_loads_without_the_tokenizers_or_the_subpackage(tmp_path):
+    """The entry hides only the absence of the subpackage."""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    for gone in (["public_tokenizers"], ["corpus_pipeline", "cytolake.llm"], ["cytolake.llm", "public_tokenizers"]):
+        code = ("import sys\n"
+                "class Gone:\n"
+                f"    def find_spec(self, name, path=None, target=None):\n        if name in {gone}: raise ModuleNotFoundError(name, name=name)\n"
+                "sys.meta_path.insert(0, Gone())\n"
+                "import __spark_entry__ as e\nprint(len(e.queries()), 'pipeline' in e.queries(), 'op1_bpe_roundtrip' in e.queries())")
+        out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.split()
+        assert out[1:] == (["True"] * 2 if gone == ["public_tokenizers"] else ["False"] * 2) and int(out[0]) > 80
+
+
 def test_packing_of_a_pattern_needs_no_residual():
     pattern = packing.patterns(np.array([1, 2, 3]), 4)
     assert sorted(sorted(p for p in row if p >= 0) for row in pattern.tolist()) == [[0, 0, 1], [0, 2], [1, 1]]
