@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-from cytolake.llm.common import staged, table
-from cytolake.llm.exact_dedup import exact_dedup
+from cytolake.llm.common import numbered, staged, table
+from cytolake.llm.exact_dedup import without_copies
 from cytolake.llm.labelled import labels_of
-from cytolake.llm.near_dedup import near_components
+from cytolake.llm.near_dedup import one_of_each
 from cytolake.llm.packing import pack
 from cytolake.llm.quality import keep_quality, train
 from cytolake.llm.suffix_dedup import without_repeats
@@ -27,31 +26,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space: the longest, then the smallest doc_id."""
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_rows"))
-    kept = staged(kept, "kept")
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    rows = docs.withColumn("_own", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    if not kept.where("_rows > 1").limit(1).count():
-        return rows.select(*docs.columns)
-    # Rows that share a doc_id as well as the text: the longest of them.
-    several = rows.where("_rows > 1").groupBy("_id", "_digest").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), "text")).alias("best"))
-    return rows.where("_rows = 1").select(*docs.columns).unionByName(several.select(*[F.col(f"best.`{c}`").alias(c) for c in docs.columns]))
+    return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each component of near duplicates (five words, 0.8)."""
-    kept = near_components(docs, words=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one_of_each(docs, words=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that have occurred before."""
-    out = without_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+    out, at = numbered(without_repeats(docs))
+    if "n_chars" in at:
+        n = F.length(at["text"]).cast(docs.schema["n_chars"].dataType)
+        out = out.select(*[n.alias(c) if c == at["n_chars"] else c for c in out.columns])
+    return out.toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with their places in sequences of 4096."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
