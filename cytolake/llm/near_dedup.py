@@ -5,18 +5,19 @@ Each document's set of word shingles gives a signature of ``CHUNKS * WIDTH`` sym
 way to leave one symbol out, so two signatures share an index key exactly if some chunk
 of theirs has at most one error.  By the pigeonhole principle every pair with at most
 ``2 * CHUNKS - 1`` (23) of 60 symbols different shares a key; a pair at similarity 0.8
-has 12 on average, and one with more errors is missed only if every chunk has two (about
-one pair in ten million at 0.8, fewer above).  Candidates with more than ``MOST_ERRORS``
-different symbols are dropped, and all others are confirmed on their full sets: a link
+has 12 on average, and one with more errors is missed only if every chunk has two (a
+probability of ``0.263 ** 12``, about one pair in ten million, at 0.8; ``0.081 ** 12``, one in ten million millions, at 0.9).
+No candidate is dropped for its signature: all whose sizes allow a link are confirmed on their full sets. A link
 is ``100 * |intersection| >= 80 * |union|``.
 
 Documents with the same set are one node.  Within a key's members all pairs are not
 emitted: (1) each node is compared with the hub (smallest node of a key) that it shares
 most keys with, (2) nodes still in another component than a hub of theirs with that hub,
 (3) of all members of keys that are still in different components, those of different
-components that share one of their rarest shingles, as sets this similar must.  Links
+components that share one of their rarest shingles, as sets this similar must; where
+many share one, those that share the next one too.  Links
 inside a component change nothing, so no component is lost.  Keys, hubs and links meet
-only in aggregations and equi-joins.
+only in aggregations and equi-joins; a hub's set is sent once for every ``TOGETHER`` of its members.
 
 Defined cases: null and empty texts and those without words have an empty set, a
 component of their own and no links; texts with fewer words than a shingle have one
@@ -28,6 +29,7 @@ component_id; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, numbered, staged
 from cytolake.llm.components import connected_components
 
-#: Chunks of a signature, symbols in each, errors allowed in a candidate.
-CHUNKS, WIDTH, MOST_ERRORS = 12, 5, 28
+#: Chunks of a signature, symbols in each.
+CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 150_000
+#: Members that are compared with a hub in one place; members that share a shingle before the next one has to be shared too, and how often.
+TOGETHER, CROWD, DEEPER = 2000, 1000, 3
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 80
 _ODD = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -124,20 +128,11 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return arrow_map(nodes.select("node", "signature"), run, "key bigint, node bigint")
 
 
-def near_enough(pairs: DataFrame, nodes: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
-    """The pairs ``a, b`` whose signatures differ in at most ``most`` symbols and whose sizes allow a link."""
-    schema = arrow_schema("a bigint, b bigint")
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-                b = b.filter(pa.array((x != y).sum(axis=1) <= most))
-            yield pa.record_batch([b.column(0), b.column(1)], schema=schema)
-
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    return arrow_map(both.select("a", "b", "sig_a", "sig_b"), run, "a bigint, b bigint", rows=10_000)
+def near_enough(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` whose sizes allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
 
 
 def full_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -156,34 +151,45 @@ def full_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return arrow_map(rows.select("doc_id", "text"), run, "node bigint, hashes binary", rows=200)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that are links on their full sets."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, together: int = TOGETHER) -> DataFrame:
+    """The pairs ``a, b`` that are links on their full sets. The members ``b`` of an ``a`` come in lots of about
+    ``together``, each after one copy of the set of ``a``."""
     schema = arrow_schema("a bigint, b bigint")
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+        lot, hub = None, None
+        for batch in batches:
+            found = []
+            for a, k, b, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x = np.frombuffer(x, np.uint64)
+                if b is None:
+                    lot, hub = (a, k), x
+                    continue
+                assert lot == (a, k)
+                both = np.concatenate([hub, x])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (x.size + y.size - common))
-            b = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.record_batch([b.column(0), b.column(1)], schema=schema)
+                if 100 * common >= percent * (hub.size + x.size - common):
+                    found.append((a, b))
+            yield pa.record_batch([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], schema=schema)
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return arrow_map(both.select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint", rows=50)
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / together).cast("int").alias("lots"))
+    hubs = lots.join(sets.withColumnRenamed("node", "a"), "a")
+    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("bigint").alias("b"), "hashes")
+    members = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b")
+    members = members.join(sets.withColumnRenamed("node", "b"), "b").select("a", "lot", "b", "hashes")
+    rows = hubs.unionByName(members).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    return arrow_map(rows, run, "a bigint, b bigint", rows=50)
 
 
-def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT, crowd: int = CROWD, deeper: int = DEEPER) -> DataFrame:
     """The pairs ``a, b`` of members (``node, component, n``) of different components that can be links.
 
     Each member's hashes are put in one order, those in few members first (hashes of one member alone come before all
-    others and are shared with none). Sets that are similar enough share one of the first
-    ``n - ceil(percent / 100 * n) + 1`` of each; and what follows the first one that they share, in either, must be
-    enough for the overlap that a link needs (prefix and position filtering: no link is lost).
+    others and are shared with none). Of the hashes that similar enough sets share, the first has at least
+    ``percent / 100 * n`` hashes from it on, in either; and there must be enough for the overlap that a link needs (prefix
+    and position filtering: no link is lost). The next one that they share has as many less one. So where more than ``crowd`` members share a
+    hash, they are dealt anew by it and each that can be the next one, up to ``deeper`` times.
     """
     schema = arrow_schema("token bigint, node bigint")
 
@@ -196,17 +202,33 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "token"))
     ranked = tokens.join(common, "token").withColumn("rank", rank).withColumn("m", F.count("*").over(Window.partitionBy("node")))
-    ranked = ranked.join(members, "node").withColumn("left", F.col("m") - F.col("rank") + 1)  # this hash and those after it
-    first = F.floor(F.col("n") * (100 - percent) / 100) + 1
-    rare = ranked.where(F.col("n") - F.col("left") < first).select("token", "node", "component", "n", "left")
-    rare = staged(rare, "rare")
-    several = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    one = rare.join(several, "token")
-    other = one.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
-    enough = F.least("left", "left_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    one, same = one.withColumnRenamed("node", "a").alias("x"), F.col("x.token") == F.col("y.token")
-    both = one.join(other.alias("y"), same & (F.col("component") < F.col("c_b")) & enough)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ranked = ranked.select("token", "node", (F.col("m") - F.col("rank") + 1).alias("left"))  # this hash and those after it
+    ranked = staged(ranked.join(members, "node"), "ranked")
+    rare = ranked.where(F.col("left") * 100 >= F.col("n") * percent).select("token", "node", "component", "n", "left")
+
+    def together(rows: DataFrame, overlap) -> DataFrame:
+        """The pairs of different components with one token whose overlap can be, or is, enough."""
+        other = rows.select("token", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b")).alias("y")
+        enough = overlap * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+        both = rows.withColumnRenamed("node", "a").alias("x").join(other, (F.col("x.token") == F.col("y.token")) & (F.col("component") < F.col("c_b")) & enough)
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    out = []
+    for shared in range(deeper + 1):  # hashes that members of a group share besides the last one
+        groups = rare.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        groups = staged(groups.select("token", "size"), "groups")
+        last = shared == deeper or not groups.where(F.col("size") > crowd).limit(1).count()
+        few = rare.join(groups if last else groups.where(F.col("size") <= crowd), "token").drop("size")
+        out.append(together(few, F.least("left", "left_b") + shared))
+        if last:
+            break
+        hot = rare.join(groups.where(F.col("size") > crowd), "token").drop("size")
+        # Sets so small that what they share already is enough need not share another one.
+        out.append(together(hot.where(F.col("n") * percent <= (shared + 1) * 100), F.lit(shared + 1)))
+        hot = hot.select(F.col("token").alias("before"), "node", F.col("left").alias("left_before"))
+        then = ranked.join(hot, "node").where((F.col("left") < F.col("left_before")) & ((F.col("left") + shared + 1) * 100 >= F.col("n") * percent))
+        rare = staged(then.select(F.xxhash64("before", "token").alias("token"), "node", "component", "n", "left"), "rare")
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def near_components(df: DataFrame, words: int = 5) -> DataFrame:

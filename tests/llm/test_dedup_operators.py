@@ -73,7 +73,7 @@ def test_op5_one_of_repeated_rows_stays(spark):
 def test_op5_directory_goes_as_deep_as_it_must(spark):
     """Keys that share their first 15 bits, in buckets of two."""
     deep = [(k << 45) for k in range(16)]
-    depth, slots = exact_dedup.directory(spark.createDataFrame([(k,) for k in deep], "key bigint"), 2)
+    depth, slots = exact_dedup.directory(spark.createDataFrame([(k,) for k in deep], "key bigint"), 4, 2)
     held = {}
     for k in deep:
         b = slots[k >> (64 - depth)]
@@ -122,6 +122,49 @@ def test_op2_one_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_op2_crowds_are_dealt_by_the_next_shingle(spark):
+    """Many sets around few common shingles: the same pairs however often groups are dealt anew."""
+    rnd = random.Random(8)
+    base = list(range(1, 9))
+    sets = {i: sorted(set(rnd.sample(base, rnd.randrange(4, 9)) + [rnd.randrange(1, 40) for _ in range(rnd.randrange(4))])) for i in range(120)}
+    rows = [(i, np.array(x, np.uint64).tobytes()) for i, x in sets.items()]
+    hashes = spark.createDataFrame(rows, "node bigint, hashes binary")
+    members = spark.createDataFrame([(i, i // 2, len(x)) for i, x in sets.items()], "node bigint, component bigint, n bigint")
+    want = {(i, j) for i in sets for j in sets if i < j and i // 2 != j // 2 and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    assert len(want) > 100
+    for crowd, deeper in ((1000, 3), (5, 0), (5, 1), (2, 3), (2, 8)):
+        got = near_dedup.sharing_rare(members, hashes, crowd=crowd, deeper=deeper)
+        pairs = [tuple(r) for r in got.collect()]
+        assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+        for together in (1, 3, 2000):
+            assert {tuple(r) for r in near_dedup.confirmed(got, hashes, together=together).collect()} == want
+
+
+def test_op2_against_brute_force_at_a_thousand_documents(spark):
+    sets = {r.doc_id: helpers.shingle_set(r.text, 2) for r in documents(spark, "/root/testdata/sf0.01").collect()}
+    index, root = {}, {i: i for i in sets}
+    for i, x in sets.items():
+        for t in x:
+            index.setdefault(t, []).append(i)
+    shared = {}
+    for ids in index.values():
+        for k, i in enumerate(ids):
+            for j in ids[k + 1:]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), n in shared.items():
+        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    got = QUERIES["op2_near_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+
+
 def test_op2_signature_guarantee():
     """Every pair of signatures with at most 23 errors shares an index key: some chunk has at most one."""
     rnd = np.random.default_rng(0)
