@@ -39,8 +39,8 @@ ENTRY = "kind int, row bigint, doc_id bigint, n_chars bigint, key bigint, digest
 INDEX = "bucket int, key bigint, chain int, first bigint, keep_row bigint, keep_id bigint, group_size bigint"
 #: Bytes of texts that a scan task remembers, so as not to send copies within the task.
 REMEMBERED = 32 << 20
-#: Different keys in a bucket before it is split.
-CAPACITY = 1 << 16
+#: Different keys in a bucket before it is split, unless buckets would be more than so many for each owner.
+CAPACITY, BUCKETS = 1 << 12, 64
 #: Bits of a key by which its text is dealt to an owner, at most.
 DEALT_BITS = 16
 
@@ -136,10 +136,13 @@ def split_directory(counts: dict[int, int], capacity: int, bits: int = 16) -> tu
     return depth, [order[b] for b in slots]
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[int, list[int]]:
-    """The directory for a table of different keys. At most eight counts for each ``capacity`` keys come to the driver; if
-    a bucket has to be split deeper than they go, they are taken again with more bits."""
-    bits = (keys.count() // capacity).bit_length() + 2
+def directory(keys: DataFrame, owners: int, capacity: int = CAPACITY) -> tuple[int, list[int]]:
+    """The directory for a table of different keys. At most eight counts for each ``capacity`` keys, and so for each of
+    ``BUCKETS`` buckets of an owner, come to the driver; if a bucket has to be split deeper than they go, they are taken
+    again with more bits."""
+    n = keys.count()
+    capacity = max(capacity, n // (BUCKETS * owners))
+    bits = (n // capacity).bit_length() + 2
     while True:
         prefix = F.shiftrightunsigned("key", 64 - bits).alias("prefix")
         counts = {r.prefix: r.n for r in keys.groupBy(prefix).agg(F.count("*").alias("n")).collect()}
@@ -206,8 +209,9 @@ def exact_dedup(df: DataFrame, capacity: int = CAPACITY, remembered: int = REMEM
     spark = df.sparkSession
     entry = staged(entries(df, remembered, digest), "hash-entries")
     sent = entry.where("kind = 1")
-    depth, slots = directory(sent.select("key").distinct(), capacity)
-    n = min(shuffle_parts(spark), slots[-1] + 1)
+    n = shuffle_parts(spark)
+    depth, slots = directory(sent.select("key").distinct(), n, capacity)
+    n = min(n, slots[-1] + 1)
     dealt = sent.select("key", "first", "n", "row", "doc_id", "n_chars", "body", owner_of(depth, slots, n).alias("owner"))
     dealt = dealt.repartitionById(n, "owner").sortWithinPartitions("key", "first").drop("owner")
     index = staged(own(dealt, depth, slots), "hash-index")
