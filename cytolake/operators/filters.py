@@ -79,16 +79,16 @@ def probe_variance(cells: DataFrame) -> DataFrame:
 
 
 def filter_low_variance(cells: DataFrame, min_percentile: float = 10.0) -> DataFrame:
-    """Cells of probes whose variance is at least that percentile of all; the threshold is one row."""
+    """Cells of probes whose variance is at least that percentile of all (or equal to it but for rounding); the threshold is one row."""
     variance = probe_variance(cells).where(F.col("variance").isNotNull() & ~F.isnan("variance"))
     least = variance.agg(F.percentile("variance", F.lit(min_percentile / 100)).alias("least"))
-    keep = variance.crossJoin(F.broadcast(least)).where("variance >= least").select("probe_id")  # one row
+    keep = variance.crossJoin(F.broadcast(least)).where("variance >= least * (1 - 1e-9D)").select("probe_id")  # one row
     return cells.join(keep, "probe_id", "left_semi")
 
 
 def impute(cells: DataFrame, method: str = "mean") -> DataFrame:
     """Missing cells by their probe's mean or median; probes without any present cell stay missing."""
     if method not in ("mean", "median"):
-        raise ValueError(f"unknown method {method!r}; for neighbours see impute_neighbours")
+        raise ValueError(f"unknown method {method!r}; for nearest neighbours see cytolake.operators.neighbours")
     fill = cells.groupBy("probe_id").agg((F.avg("value") if method == "mean" else F.median("value")).alias("fill"))
     return cells.join(fill, "probe_id").select("probe_id", "sample_id", F.coalesce("value", "fill").alias("value"))

@@ -223,7 +223,8 @@ def fit_chunked(packed: DataFrame, design: pd.DataFrame, contrast, chunk: int =
     probes = fit.select("probe_id")
     n = max(1, probes.count() // chunk)
     # Chunks of about equal size by a hash of the id: a probe's chunk doesn't depend on the others.
-    fit = fit.withColumn("chunk", F.pmod(F.xxhash64("probe_id"), F.lit(n)).cast("int"))
+    digest = F.conv(F.substring(F.md5(F.col("probe_id").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    fit = fit.withColumn("chunk", (digest % n).cast("int"))
     priors = [(r.chunk, *_capped(solve_prior(r.middle, r.spread, r.n), max_d0)) for r in smyth_prior(fit, robust, ["chunk"]).collect()]
     small = packed.sparkSession.createDataFrame(priors, "chunk int, d0 double, s0 double")
     joined = fit.join(F.broadcast(small), "chunk")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cytolake.functions.expressions import beta_to_m, clean_chromosome, m_to_beta, winsorized
 from cytolake.operators import deconv, design, enrich, filters, genes, linmod, model, multitest, neighbours, normalize, planner, plotdata, regions, signature, summaries
+from cytolake.plans import closed_forms as cf
 from cytolake.plans import fixtures as fx
 from cytolake.sources.writers import result_columns, sample_sheet_json
 
@@ -149,7 +150,8 @@ def _(spark, sf):
     return cells.join(keep, "probe_id", "left_semi").agg(F.count("*").alias("n_cells"), (F.countDistinct("probe_id") > 0).alias("some"))
 
 
-@query("low_variance_cells")
+@query("low_variance_cells", f"WITH {fx.CELLS}, v AS (SELECT probe_id, var_samp(value) AS v FROM cells GROUP BY 1 HAVING var_samp(value) IS NOT NULL), keep AS (SELECT probe_id FROM v WHERE v >= (SELECT quantile_cont(v, 0.25) FROM v) * (1 - 1e-9)) "
+       f"SELECT probe_id, sample_id, {r('value')} AS value FROM cells JOIN keep USING (probe_id)")
 def _(spark, sf):
     return filters.filter_low_variance(fx.cells(spark, sf), 25.0)
 
@@ -169,14 +171,30 @@ for _method, _sql in (("mean", "avg"), ("median", "median")):
         return filters.impute(holes(spark, sf), method)
 
 
-@query("impute_knn_samples")
+_NEAREST = "sum(v) FILTER (WHERE d = 0) / nullif(count(*) FILTER (WHERE d = 0), 0), sum(v / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0)"
+
+
+@query("impute_knn_samples", f"WITH {fx.CELLS}, p AS (SELECT DISTINCT probe_id FROM cells), y AS (SELECT CAST(y AS VARCHAR) AS sample_id FROM range(1995, 2002) r(y)), "
+       "d AS (SELECT a.sample_id AS s, b.sample_id AS donor, sqrt(sum(pow(a.value - b.value, 2)) * (SELECT count(*) FROM p) / count(*)) AS d FROM cells a JOIN cells b ON a.probe_id = b.probe_id AND a.sample_id <> b.sample_id GROUP BY 1, 2), "
+       "holes AS (SELECT probe_id, sample_id FROM p CROSS JOIN y ANTI JOIN cells USING (probe_id, sample_id)), "
+       "k AS (SELECT h.probe_id, h.sample_id, d, c.value AS v, row_number() OVER (PARTITION BY h.probe_id, h.sample_id ORDER BY d, donor) AS i FROM holes h JOIN d ON d.s = h.sample_id JOIN cells c ON c.probe_id = h.probe_id AND c.sample_id = d.donor), "
+       f"f AS (SELECT probe_id, sample_id, coalesce({_NEAREST}) AS fill FROM k WHERE i <= 3 GROUP BY 1, 2) "
+       f"SELECT probe_id, sample_id, {r('coalesce(value, fill)')} AS value FROM p CROSS JOIN y LEFT JOIN cells USING (probe_id, sample_id) LEFT JOIN f USING (probe_id, sample_id)")
 def _(spark, sf):
-    return neighbours.impute_samples(model.pack(fx.cells(spark, sf), fx.YEARS), 7, 3)
+    return model.unpack(neighbours.impute_samples(model.pack(fx.cells(spark, sf), fx.YEARS), 7, 3), fx.YEARS)
 
 
-@query("impute_knn_probes")
+MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
+_MONTHS = "months AS (SELECT y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') AS sample_id, (y - 1995) * 12 + m - 1 AS age, CASE WHEN y >= 1998 THEN 1 ELSE 0 END AS grp FROM range(1995, 2002) a(y), range(1, 13) b(m))"
+
+
+@query("impute_knn_probes", f"WITH {fx.MONTHLY}, {_MONTHS}, p AS (SELECT DISTINCT probe_id FROM cells), all_ AS (SELECT probe_id, sample_id, value FROM p CROSS JOIN months LEFT JOIN cells USING (probe_id, sample_id)), holes AS (SELECT * FROM all_ WHERE value IS NULL), "
+       "d AS (SELECT a.probe_id AS p, b.probe_id AS donor, sqrt(sum(pow(a.value - b.value, 2)) * 84 / count(*)) AS d FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.probe_id <> b.probe_id WHERE a.probe_id IN (SELECT probe_id FROM holes) GROUP BY 1, 2), "
+       "k AS (SELECT h.probe_id, h.sample_id, d, c.value AS v, row_number() OVER (PARTITION BY h.probe_id, h.sample_id ORDER BY d, donor) AS i FROM holes h JOIN d ON d.p = h.probe_id JOIN cells c ON c.probe_id = d.donor AND c.sample_id = h.sample_id), "
+       f"f AS (SELECT probe_id, sample_id, coalesce({_NEAREST}) AS fill FROM k WHERE i <= 5 GROUP BY 1, 2), m AS (SELECT sample_id, avg(value) AS mean FROM cells GROUP BY 1) "
+       f"SELECT probe_id, sample_id, {r('coalesce(value, fill, mean)')} AS value FROM all_ LEFT JOIN f USING (probe_id, sample_id) LEFT JOIN m USING (sample_id)")
 def _(spark, sf):
-    return neighbours.impute_probes(model.pack(fx.monthly(spark, sf).where("sample_id < '1997'"), [f"{y}-{m:02d}" for y in (1995, 1996) for m in range(1, 13)]), 24, 5)
+    return model.unpack(neighbours.impute_probes(model.pack(fx.monthly(spark, sf), MONTHS), 84, 5), MONTHS)
 
 
 # Normalisation and batches
@@ -213,7 +231,8 @@ def _(spark, sf):
     return normalize.batch_standardized(cells, fx.pheno(spark))
 
 
-@query("batch_combat")
+@query("batch_combat", STANDARD.replace(f"WITH {fx.CELLS}", f"WITH {fx.CELLS.replace('cells AS', 'betas AS', 1)}, c_ AS (SELECT *, least(greatest(value, 1e-6::DOUBLE), 0.999999::DOUBLE) AS b FROM betas), cells AS (SELECT probe_id, sample_id, log2(b / (1.0::DOUBLE - b)) AS value FROM c_)").replace(
+    "{v}", r("1 / (1 + pow(2.0::DOUBLE, -((value - mb) / CASE WHEN sb > 1e-9 THEN sb ELSE 1 END * coalesce(s, 1.0))))")))
 def _(spark, sf):
     return normalize.combat(study(spark, sf), "batch").cells
 
@@ -247,68 +266,85 @@ def _(spark, sf):
     return summaries.summarize_groups(fx.cells(spark, sf), groups(spark), ["A", "B"])
 
 
-@query("winsorize_rows", f"{BASE}, {FULL}, q AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM ok GROUP BY 1) SELECT probe_id, sample_id, {r('least(greatest(value, lo), hi)')} AS value FROM ok JOIN q USING (probe_id)")
+@query("winsorize_rows", f"{BASE}, q AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM cells GROUP BY 1) SELECT probe_id, sample_id, {r('least(greatest(value, lo), hi)')} AS value FROM cells JOIN q USING (probe_id)")
 def _(spark, sf):
-    return model.unpack(complete(spark, sf).select("probe_id", winsorized(F.col("values")).alias("values")), fx.YEARS)
+    return model.unpack(packed(spark, sf).select("probe_id", winsorized(F.col("values")).alias("values")), fx.YEARS).where("value is not null")
 
 
-#: Two-sided p-value of Student's t with odd degrees of freedom, in closed form.
-def _t_odd(t: str, df: int) -> str:
-    a = f"atan(abs({t}) / sqrt({df}.0::DOUBLE))"
-    terms, coefficient = [f"cos({a})"], 1.0
-    for k in range(1, (df - 1) // 2):
-        coefficient *= 2 * k / (2 * k + 1)
-        terms.append(f"{coefficient!r}::DOUBLE * pow(cos({a}), {2 * k + 1})")
-    return f"1 - 2 / pi() * ({a} + sin({a}) * ({' + '.join(terms)}))"
+#: Fits of two groups over all probes with three present cells: values, in groups ``na`` and ``n - na``, the fit and its variance.
+def _two_groups(robust: bool) -> str:
+    y = "least(greatest(value, lo), hi)" if robust else "value"
+    return (f"{BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {GROUPED}, q_ AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM rows_ GROUP BY 1), w AS (SELECT probe_id, sample_id, grp, {y} AS y FROM rows_ JOIN q_ USING (probe_id)), "
+            "m AS (SELECT probe_id, count(*) AS n, count(*) FILTER (WHERE grp = 'A') AS na, avg(y) FILTER (WHERE grp = 'A') AS ma, avg(y) FILTER (WHERE grp = 'B') AS mb, avg(y) AS m0, var_pop(y) AS v FROM w GROUP BY 1 HAVING count(*) >= 3), "
+            "e AS (SELECT probe_id, sum(pow(y - CASE WHEN grp = 'A' THEN ma ELSE mb END, 2)) AS ss FROM w JOIN m USING (probe_id) GROUP BY 1), "
+            "d_ AS (SELECT *, n - CASE WHEN na IN (0, n) THEN 1 ELSE 2 END AS df, CASE WHEN na = 0 THEN m0 / 2 WHEN na = n THEN 0 ELSE mb - ma END AS fc FROM m JOIN e USING (probe_id)), "
+            "g AS (SELECT probe_id, fc, df, ss / df AS s2 FROM d_ WHERE v >= 1e-12 AND df > 0)")
 
 
-def fit_sql(df: int, d0: int, robust: bool = False, select: str | None = None) -> str:
-    """The whole two-group test in SQL: closed forms of the model, of the p-value and of the adjustment."""
-    y = "least(greatest(value, lo), hi)" if robust else "value"
-    out = select or f"probe_id, {r('fc')} AS \"logFC\", {r('s2')} AS s2, {r('s2_post')} AS s2_post, {r('t')} AS t, {r('p')} AS pval, {r('q')} AS padj"
-    return (f"{BASE}, {FULL}, q_ AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM ok GROUP BY 1), m AS (SELECT probe_id, avg(value) FILTER (WHERE grp = 'A') AS ma, avg(value) FILTER (WHERE grp = 'B') AS mb FROM ok GROUP BY 1), "
-            f"s AS (SELECT probe_id, any_value(mb) - any_value(ma) AS fc, sum(pow({y} - CASE WHEN grp = 'A' THEN ma ELSE mb END, 2)) / 5 AS s2, var_pop({y}) AS v FROM ok JOIN m USING (probe_id) JOIN q_ USING (probe_id) GROUP BY 1), "
-            "g AS (SELECT * FROM s WHERE v >= 1e-12), h AS (SELECT median(s2) AS s0 FROM g), "
-            f"k AS (SELECT g.*, {'s2' if not d0 else f'greatest(({d0} * s0 + 5 * s2) / {d0 + 5}, 1e-12)'} AS s2_post FROM g, h), "
-            "se AS (SELECT *, sqrt(greatest(s2_post * (1.0::DOUBLE / 3 + 1.0::DOUBLE / 4), 1e-8)) AS se FROM k), t AS (SELECT *, CASE WHEN se < 1e-3 THEN 0 ELSE fc / se END AS t FROM se), "
-            f"p AS (SELECT *, {_t_odd('t', df)} AS p FROM t), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p), "
-            f"a AS (SELECT *, least(1.0::DOUBLE, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM o) SELECT {out} FROM a")
+def _tested(table: str, unscaled: str, points: int) -> str:
+    """The t-test and its adjustment of ``table(probe_id, fc, s2, s2_post, df_total)``."""
+    return (f"se AS (SELECT *, sqrt(greatest(s2_post * ({unscaled}), 1e-8)) AS se FROM {table}), t AS (SELECT *, CASE WHEN se < 1e-3 THEN 0 ELSE fc / se END AS t FROM se), "
+            f"p AS (SELECT *, {cf.t_pvalue('t', 'df_total', points)} AS p FROM t), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n_ FROM p), "
+            "a AS (SELECT *, least(1.0::DOUBLE, min(p * n_ / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM o) "
+            f"SELECT probe_id, {r('fc')} AS \"logFC\", {r('s2')} AS s2, {r('s2_post')} AS s2_post, {r('t')} AS t, {r('p')} AS pval, {r('q')} AS padj FROM a")
+
+
+def fit_sql(d0: float, robust: bool = False) -> str:
+    """The whole two-group test in SQL with ``d0`` prior degrees of freedom and the median as the prior's variance."""
+    post = "s2" if not d0 else f"greatest(({d0}::DOUBLE * s0 + df * s2) / (df + {d0}::DOUBLE), 1e-12)"
+    return f"{_two_groups(robust)}, h AS (SELECT median(s2) AS s0 FROM g), k AS (SELECT g.*, {post} AS s2_post, df + {d0}::DOUBLE AS df_total FROM g, h), {_tested('k', '1.0::DOUBLE / 3 + 1.0::DOUBLE / 4', 2000)}"
 
 
 FIT = ["probe_id", "logFC", "s2", "s2_post", "t", "pval", "padj"]
 
 
-@query("fit_two_group", fit_sql(5, 0))
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All probes, packed, some with missing cells."""
+    return model.pack(fx.cells(spark, sf_dir), fx.YEARS)
+
+
+@query("fit_two_group", fit_sql(0))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="none", robust=False, whole=True).select(*FIT)
+    return linmod.fit_differential(packed(spark, sf), two_groups(), contrast=[0, 1], shrink="none", robust=False).select(*FIT)
 
 
-@query("fit_robust", fit_sql(5, 0, robust=True))
+@query("fit_robust", fit_sql(0, robust=True))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="auto", whole=True).select(*FIT)
+    return linmod.fit_differential(packed(spark, sf), two_groups(), contrast=[0, 1], shrink="auto").select(*FIT)
 
 
-@query("fit_fixed_prior", fit_sql(15, 10))
+@query("fit_fixed_prior", fit_sql(10))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink=10.0, robust=False, whole=True).select(*FIT)
+    return linmod.fit_differential(packed(spark, sf), two_groups(), contrast=[0, 1], shrink=10.0, robust=False).select(*FIT)
 
 
-@query("fit_median_prior")
+@query("fit_median_prior", fit_sql(3.5))
 def _(spark, sf):
-    return linmod.fit_differential(complete(spark, sf), two_groups(), contrast=[0, 1], shrink="median", robust=False, whole=True).select(*FIT)
+    return linmod.fit_differential(packed(spark, sf), two_groups(), contrast=[0, 1], shrink="median", robust=False).select(*FIT)
 
 
-@query("fit_smyth_missing")
+#: A group and a trend over months: centred sums give the two slopes. The test is of the group.
+_SUMS = ", ".join(f"sum({x} * {y}) - sum({x}) * sum({y}) / count(*) AS {x}{y}" for x, y in ("aa", "gg", "ag", "ay", "gy", "yy"))
+_TREND = (f"WITH RECURSIVE {fx.MONTHLY}, {_MONTHS}, q_ AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM cells GROUP BY 1), "
+          "w AS (SELECT probe_id, age::DOUBLE AS a, grp::DOUBLE AS g, least(greatest(value, lo), hi) AS y FROM cells JOIN q_ USING (probe_id) JOIN months USING (sample_id)), "
+          f"s_ AS (SELECT probe_id, count(*) AS n, {_SUMS} FROM w GROUP BY 1 HAVING count(*) >= 4 AND var_pop(y) >= 1e-12), "
+          "b_ AS (SELECT probe_id, n - 3 AS df, (gy * aa - ay * ag) / (aa * gg - ag * ag) AS fc, (ay * gg - gy * ag) / (aa * gg - ag * ag) AS slope, yy, ay, gy FROM s_), "
+          "g AS (SELECT probe_id, 0 AS chunk, fc, df, (yy - fc * gy - slope * ay) / df AS s2 FROM b_), "
+          f"{cf.prior('g')}, k AS (SELECT g.*, greatest((d0 * s0 + df * s2) / (df + d0), 1e-12) AS s2_post, df + d0 AS df_total FROM g JOIN prior USING (chunk)), "
+          "x_ AS (SELECT sum(age * age) - sum(age) * sum(age) / 84.0 AS aa, sum(grp) - sum(grp) * sum(grp) / 84.0 AS gg, sum(age * grp) - sum(age) * sum(grp) / 84.0 AS ag FROM months)")
+
+
+@query("fit_smyth_missing", f"{_TREND}, {_tested('k', '(SELECT aa / (aa * gg - ag * ag) FROM x_)', 4000)}")
 def _(spark, sf):
-    months = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
-    packed = model.pack(fx.monthly(spark, sf), months)
-    x = design.build_design(pd.DataFrame({"group": ["A" if m < "1998" else "B" for m in months], "age": np.arange(len(months), dtype=float)}))
-    return linmod.fit_differential(packed, x, contrast=[0, 0, 1], shrink="smyth").select(*FIT)
+    cells = model.pack(fx.monthly(spark, sf), MONTHS)
+    x = design.build_design(pd.DataFrame({"group": ["A" if m < "1998" else "B" for m in MONTHS], "age": np.arange(len(MONTHS), dtype=float)}))
+    return linmod.fit_differential(cells, x, contrast=[0, 0, 1], shrink="smyth").select(*FIT)
 
 
-@query("fit_chunked")
+@query("fit_chunked", f"{_two_groups(True)}, c_ AS (SELECT *, CAST('0x' || substr(md5(probe_id), 1, 8) AS BIGINT) % (SELECT greatest(1, count(*) // 500) FROM g) AS chunk FROM g), "
+       f"{cf.prior('c_')}, k AS (SELECT c_.*, greatest((d0 * s0 + df * s2) / (df + d0), 1e-12) AS s2_post, df + d0 AS df_total FROM c_ JOIN prior USING (chunk)), {_tested('k', '1.0::DOUBLE / 3 + 1.0::DOUBLE / 4', 2000)}")
 def _(spark, sf):
-    return linmod.fit_chunked(complete(spark, sf), two_groups(), [0, 1], chunk=500).select(*FIT)
+    return linmod.fit_chunked(packed(spark, sf), two_groups(), [0, 1], chunk=500).select(*FIT)
 
 
 THREE = "CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"
@@ -324,7 +360,14 @@ def _(spark, sf):
     return linmod.fit_differential(complete(spark, sf), x, contrast_matrix=[[0, 1, 0], [0, 0, 1]], shrink="none", robust=False, whole=True).select("probe_id", "s2", "F", "pval", "padj")
 
 
-@query("fit_many_groups")
+@query("fit_many_groups", f"WITH RECURSIVE {fx.EMBEDDING}, n_ AS (SELECT count(DISTINCT sample_id) AS n, count(DISTINCT grp)::DOUBLE AS k FROM cells), q_ AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi, avg(value) AS m0 FROM cells GROUP BY 1), "
+       "m_ AS (SELECT probe_id, grp, avg(value) AS m, count(*) AS c FROM cells GROUP BY 1, 2), "
+       "s_ AS (SELECT probe_id, sum(pow(least(greatest(value, lo), hi) - m, 2)) / ((SELECT n FROM n_) - (SELECT k FROM n_)) AS s2 FROM cells JOIN q_ USING (probe_id) JOIN m_ USING (probe_id, grp) GROUP BY 1), "
+       "b_ AS (SELECT probe_id, sum(c * pow(m - m0, 2)) AS ssb FROM m_ JOIN q_ USING (probe_id) GROUP BY 1), g AS (SELECT 0 AS chunk, * FROM s_ JOIN b_ USING (probe_id)), "
+       f"{cf.prior('g')}, k_ AS (SELECT g.*, n - k AS df, k - 1 AS df1, n - k + d0 AS df2, greatest((d0 * s0 + (n - k) * s2) / (n - k + d0), 1e-12) AS s2_post FROM g JOIN prior USING (chunk), n_), "
+       "f_ AS (SELECT *, ssb / df1 / greatest(s2_post, 1e-8) AS f FROM k_), "
+       f"p AS (SELECT *, {cf.f_pvalue('f', 'df1', 'df2')} AS p FROM f_), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n_ FROM p) "
+       f"SELECT probe_id, {r('s2')} AS s2, {r('s2_post')} AS s2_post, {r('f')} AS \"F\", {r('df1')} AS df1, {r('df2')} AS df2, {r('p')} AS pval, {r('least(1.0::DOUBLE, min(p * n_ / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))')} AS padj FROM o")
 def _(spark, sf):
     cells = fx.embedding_cells(spark, sf)
     labels = cells.select("sample_id", "group").distinct().orderBy("sample_id").toPandas()  # samples
@@ -333,10 +376,10 @@ def _(spark, sf):
     return linmod.fit_differential(packed, x, contrast_matrix=np.eye(x.shape[1])[1:], shrink="smyth").select("probe_id", "s2", "s2_post", "F", "df1", "df2", "pval", "padj")
 
 
-@query("residuals", f"{BASE}, {FULL}, m AS (SELECT probe_id, grp, avg(value) AS m FROM ok GROUP BY 1, 2), v AS (SELECT probe_id FROM ok GROUP BY 1 HAVING var_pop(value) >= 1e-12) SELECT probe_id, sample_id, {r('value - m')} AS residual FROM ok JOIN m USING (probe_id, grp) JOIN v USING (probe_id)")
+@query("residuals", f"{_two_groups(False)} SELECT w.probe_id, sample_id, {r('y - CASE WHEN grp = chr(65) THEN ma ELSE mb END')} AS residual FROM w JOIN m USING (probe_id) JOIN g USING (probe_id)")
 def _(spark, sf):
-    got = linmod.fitted(complete(spark, sf), two_groups(), np.array([0, 1]), robust=False, residuals=True)
-    return model.unpack(got.select("probe_id", F.col("residuals").alias("values")), fx.YEARS).withColumnRenamed("value", "residual")
+    got = linmod.fitted(packed(spark, sf), two_groups(), np.array([0, 1]), robust=False, residuals=True)
+    return model.unpack(got.select("probe_id", F.col("residuals").alias("values")), fx.YEARS).where("value is not null").withColumnRenamed("value", "residual")
 
 
 # Many tests
@@ -355,7 +398,8 @@ for _method, _sql in _ADJUST.items():
         return multitest.adjust(fx.results(spark, sf).select("probe_id", "pval"), "pval", "adjusted", method).select("probe_id", "adjusted")
 
 
-@query("stouffer")
+@query("stouffer", f"{RES.replace('WITH ', 'WITH RECURSIVE ', 1)}, d_ AS (SELECT DISTINCT pval AS id, pval FROM res), {cf.normal_quantiles('d_', 'pval')}, s AS (SELECT sum(z) / sqrt(count(*)) AS z FROM res JOIN z ON id = pval) "
+       f"SELECT {r('z')} AS z, {r('1 - ' + cf.normal_cdf('z'))} AS pvalue FROM s")
 def _(spark, sf):
     return multitest.stouffer(fx.results(spark, sf), "pval")
 
@@ -422,14 +466,16 @@ def _(spark, sf):
     return found(spark, sf, 3600, 3).drop("mean_delta_beta").withColumn("cpgs", F.concat_ws(",", "cpgs"))
 
 
-@query("dmr_merged", _CLUSTER.format(gap=1800, least=2) + ", f AS (SELECT *, max(end_) OVER (PARTITION BY chr ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM d), "
-       "g AS (SELECT *, sum(CASE WHEN far IS NULL OR start_ - far > 5400 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start_, end_ ROWS UNBOUNDED PRECEDING) AS id FROM f) "
-       f"SELECT chr, min(start_) AS start, max(end_) AS \"end\", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, {r('sum(fc * n_cpgs) / sum(n_cpgs)')} AS \"mean_logFC\", {r('min(p)')} AS min_padj FROM g GROUP BY chr, id")
+_MERGED = (_CLUSTER.format(gap=1800, least=2) + ", f AS (SELECT *, max(end_) OVER (PARTITION BY chr ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM d), "
+           "g AS (SELECT *, sum(CASE WHEN far IS NULL OR start_ - far > 5400 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start_, end_ ROWS UNBOUNDED PRECEDING) AS id FROM f) ")
+
+
+@query("dmr_merged", _MERGED + f"SELECT chr, min(start_) AS start, max(end_) AS \"end\", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, {r('sum(fc * n_cpgs) / sum(n_cpgs)')} AS \"mean_logFC\", {r('min(p)')} AS min_padj FROM g GROUP BY chr, id")
 def _(spark, sf):
     return found(spark, sf, 1800, 2, merge_distance=5400, merge_mean="weighted").drop("mean_delta_beta", "cpgs")
 
 
-@query("dmr_merged_sequential")
+@query("dmr_merged_sequential", _MERGED + f"SELECT chr, min(start_) AS start, max(end_) AS \"end\", CAST(sum(n_cpgs) AS BIGINT) AS n_cpgs, {r('list_reduce(list(fc ORDER BY start_, end_), lambda a, b: (a + b) / 2)')} AS \"mean_logFC\", {r('min(p)')} AS min_padj FROM g GROUP BY chr, id")
 def _(spark, sf):
     return found(spark, sf, 1800, 2, merge_distance=5400).drop("mean_delta_beta", "cpgs")
 
@@ -481,10 +527,10 @@ def _(spark, sf):
 
 
 for _method, _sql in (("mean", "avg"), ("median", "median"), ("sum", "sum")):
-    @query(f"pathway_{_method}", f"WITH {fx.CELLS}, {fx.ANNOTATION}, s AS (SELECT DISTINCT pathway, gene FROM ann WHERE pos % 300 = 0), m AS (SELECT DISTINCT probe_id, s.pathway FROM ann JOIN s USING (gene)) SELECT sample_id, pathway, {r(f'{_sql}(value)')} AS score FROM cells JOIN m USING (probe_id) GROUP BY 1, 2")
+    @query(f"pathway_{_method}", f"WITH {fx.CELLS}, {fx.ANNOTATION}, s AS (SELECT DISTINCT chr AS pathway, gene FROM ann), m AS (SELECT DISTINCT probe_id, s.pathway FROM ann JOIN s USING (gene)) SELECT sample_id, pathway, {r(f'{_sql}(value)')} AS score FROM cells JOIN m USING (probe_id) GROUP BY 1, 2")
     def _(spark, sf, method=_method):
         a = fx.annotation(spark, sf)
-        return enrich.pathway_scores(fx.cells(spark, sf), a, a.where(F.col("pos") % 300 == 0).select(F.col("pathway").alias("term"), "gene"), method)
+        return enrich.pathway_scores(fx.cells(spark, sf), a, a.select(F.col("chr").alias("term"), "gene"), method)
 
 
 _EXPRESSION = ("x AS (SELECT l_partkey, 'cg' || l_partkey AS probe_id, CAST(year(l_shipdate) AS VARCHAR) AS sample_id, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS y FROM lineitem GROUP BY 1, 2, 3), "
@@ -501,7 +547,7 @@ _FLAT = "HAVING count(*) >= 3 AND var_pop(x) > 1e-12 AND var_pop(y) > 1e-12"
 
 @query("correlate_pearson", f"WITH {fx.CELLS}, {_EXPRESSION} SELECT feature, {r('corr(x, y)')} AS r, count(*) AS n FROM j GROUP BY 1 {_FLAT}")
 def _(spark, sf):
-    return _steady(spark, sf, "pearson")
+    return _steady(spark, sf, "pearson").drop("pvalue")
 
 
 @query("correlate_spearman", f"WITH {fx.CELLS}, {_EXPRESSION}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM j) "
@@ -514,15 +560,22 @@ def _steady(spark, sf, method):
     """Correlations of features that vary on both sides."""
     cells, x = fx.cells(spark, sf), expression(spark, sf)
     some = lambda df: df.groupBy("probe_id").agg(F.var_pop("value").alias("v"), F.count("*").alias("n")).where("v > 1e-12 and n >= 3").select(F.col("probe_id").alias("feature"))
-    return enrich.correlate(cells, x, method).drop("pvalue").join(some(cells), "feature", "left_semi").join(some(x), "feature", "left_semi")
+    out = enrich.correlate(cells, x, method).join(some(cells), "feature", "left_semi").join(some(x), "feature", "left_semi")
+    return out if method == "pearson" else out.drop("pvalue")
 
 
-@query("correlate_pvalues")
+@query("correlate_pvalues", f"WITH {fx.CELLS}, {_EXPRESSION}, c AS (SELECT feature, corr(x, y) AS r, count(*) AS n FROM j GROUP BY 1 {_FLAT}), t AS (SELECT *, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300::DOUBLE)) AS t FROM c) "
+       f"SELECT feature, {r('r')} AS r, {r(cf.t_pvalue('t', '(n - 2)'))} AS pvalue, n FROM t")
 def _(spark, sf):
-    return enrich.correlate(fx.cells(spark, sf), expression(spark, sf))
+    return _steady(spark, sf, "pearson").select("feature", "r", "pvalue", "n")
+
 
+_GRAM = ", ".join(f"sum(x{i} * x{j}) AS g_{i}_{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(x{i} * value) AS b_{i}" for i in range(3))
 
-@query("cell_composition")
+
+@query("cell_composition", f"WITH {fx.EMBEDDING}, x AS (SELECT probe_id, " + ", ".join(f"avg(value) FILTER (WHERE grp = '{i}') AS x{i}" for i in range(3)) + " FROM cells GROUP BY 1), "
+       f"s AS (SELECT sample_id, {_GRAM} FROM cells JOIN x USING (probe_id) GROUP BY 1), w AS (SELECT sample_id, {cf.nnls3()} AS w FROM s), t AS (SELECT sample_id, unnest([0, 1, 2]) AS i, w, list_sum(w) AS total FROM w) "
+       f"SELECT sample_id, CAST(i AS VARCHAR) AS cell_type, {r('CASE WHEN total > 0 THEN w[i + 1] / total ELSE 0 END')} AS proportion FROM t")
 def _(spark, sf):
     cells = fx.embedding_cells(spark, sf)
     reference = cells.where(F.col("group").isin("0", "1", "2")).groupBy("probe_id", F.col("group").alias("cell_type")).agg(F.avg("value").alias("value"))
@@ -539,8 +592,8 @@ def _(spark, sf):
 @query("signature_forest")
 def _(spark, sf):
     cells = fx.embedding_cells(spark, sf)
-    labels = cells.select("sample_id", F.col("group").alias("label")).distinct().where(F.col("label").isin("0", "1"))
-    _, got = signature.model_signature(cells.join(labels, "sample_id", "left_semi"), labels, [f"d{i}" for i in range(16)], trees=20, n_splits=3)
+    labels = cells.select("sample_id", F.col("group").alias("label")).distinct()
+    _, got = signature.model_signature(cells, labels, [f"d{i}" for i in range(64)], trees=20, n_splits=3)
     return spark.createDataFrame(sorted((k, float(v)) for k, v in got.items()), "metric string, value double")
 
 
@@ -599,12 +652,25 @@ def _(spark, sf):
     return plotdata.shrinkage(fx.results(spark, sf))
 
 
-@query("expression_heatmap")
+@query("expression_heatmap", f"WITH {fx.CELLS}, {_EXPRESSION}, c AS (SELECT feature, {r('abs(corr(x, y))')} AS strength FROM j GROUP BY 1 {_FLAT}) SELECT strength FROM c ORDER BY strength DESC LIMIT 50")
 def _(spark, sf):
-    return plotdata.expression_heatmap(enrich.correlate(fx.cells(spark, sf), expression(spark, sf)))
+    # Equal correlations may differ in their last digit, so only their strengths are compared.
+    return plotdata.expression_heatmap(_steady(spark, sf, "pearson")).select(F.abs("r").alias("strength"))
+
+
+_PCA = (f"WITH RECURSIVE {fx.CELLS}, y AS (SELECT CAST(y AS VARCHAR) AS sample_id FROM range(1995, 2002) r(y)), m AS (SELECT probe_id, avg(value) AS m FROM cells GROUP BY 1), "
+        "x AS (SELECT probe_id, sample_id, coalesce(value - m, 0) AS x FROM m CROSS JOIN y LEFT JOIN cells USING (probe_id, sample_id)), p_ AS (SELECT a.sample_id AS s, b.sample_id AS t, sum(a.x * b.x) AS g FROM x a JOIN x b USING (probe_id) GROUP BY 1, 2), "
+        f"q_ AS (SELECT s, list(g ORDER BY t) AS g FROM p_ GROUP BY 1), g0 AS (SELECT list(g ORDER BY s) AS g FROM q_), {cf.principal('g0', 7, 1)}, {cf.deflated('g0', 7, 1)}, {cf.principal('g1', 7, 2)}, "
+        "tr AS (SELECT list_sum(list_transform(range(1, 8), lambda i: g[i][i])) AS tr FROM g0)")
+
+
+def _score(k: int) -> str:
+    """A sample's score, the largest of all positive."""
+    v = f"e{k}.v"
+    return r(f"{v}[i] * sqrt(e{k}.value) * CASE WHEN list_max({v}) >= -list_min({v}) THEN 1 ELSE -1 END")
 
 
-@query("pca_samples")
+@query("pca_samples", f"{_PCA} SELECT CAST(1994 + i AS VARCHAR) AS sample_id, {_score(1)} AS pc1, {_score(2)} AS pc2, {r('e1.value / tr')} AS explained_1, {r('e2.value / tr')} AS explained_2 FROM e1, e2, tr, range(1, 8) t(i)")
 def _(spark, sf):
     return plotdata.pca(model.pack(fx.cells(spark, sf), fx.YEARS), fx.YEARS)
 

@@ -52,8 +52,8 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genes around every tenth part."""
-    p = read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    """A gene around every part."""
+    p = read(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("gene_ord"), F.concat(F.lit("chr"), F.regexp_replace("p_brand", "[^0-9]", "")).alias("chr"), (F.col("p_partkey") * 100 - 200).alias("start"),
                     (F.col("p_partkey") * 100 + 300).alias("end"), F.concat(F.lit("G"), F.col("p_partkey")).alias("gene_symbol"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"))
 
@@ -82,7 +82,7 @@ PHENO = "pheno AS (SELECT CAST(y AS VARCHAR) AS sample_id, CASE WHEN y <= 1997 T
 EMBEDDING = "cells AS (SELECT 'd' || (i - 1) AS probe_id, CAST(vec_id AS VARCHAR) AS sample_id, CAST(embedding[i] AS DOUBLE) AS value, CAST(label AS VARCHAR) AS grp FROM embeddings, range(1, 65) r(i))"
 ANNOTATION = "ann AS (SELECT 'cg' || p_partkey AS probe_id, 'chr' || regexp_replace(p_brand, '[^0-9]', '', 'g') AS chr, p_partkey * 100 AS pos, p_name AS gene, p_type AS pathway FROM part)"
 GENES = ("genes AS (SELECT p_partkey AS gene_ord, 'chr' || regexp_replace(p_brand, '[^0-9]', '', 'g') AS chr, p_partkey * 100 - 200 AS s, p_partkey * 100 + 300 AS e, "
-         "'G' || p_partkey AS gene_symbol, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part WHERE p_partkey % 10 = 0)")
+         "'G' || p_partkey AS gene_symbol, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)")
 SITES = ("sites AS (SELECT CAST(event_id AS VARCHAR) AS probe_id, lower('chr' || event_type) AS chr, CAST(floor(epoch(ts)) AS BIGINT) AS pos, CAST(round(value * 1000) AS BIGINT) AS milli, "
          "((event_id * 7919) % 1000)::DOUBLE / 8000.0::DOUBLE AS padj FROM events)")
 
