@@ -45,8 +45,9 @@ CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 150_000
-#: Members that are compared with a hub in one place; members that share a shingle before the next one has to be shared too, and how often.
-TOGETHER, CROWD, DEEPER = 2000, 1000, 3
+#: Members that are compared with a hub in one place; members of other components that a member shares a shingle with, on
+#: average, before the next one has to be shared too, and how often.
+TOGETHER, CROWD, DEEPER = 200, 500, 3
 #: Similarity in hundredths from which documents are linked.
 PERCENT = 80
 _ODD = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
@@ -188,8 +189,9 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT, cr
     Each member's hashes are put in one order, those in few members first (hashes of one member alone come before all
     others and are shared with none). Of the hashes that similar enough sets share, the first has at least
     ``percent / 100 * n`` hashes from it on, in either; and there must be enough for the overlap that a link needs (prefix
-    and position filtering: no link is lost). The next one that they share has as many less one. So where more than ``crowd`` members share a
-    hash, they are dealt anew by it and each that can be the next one, up to ``deeper`` times.
+    and position filtering: no link is lost). The next one that they share has as many less one. So where members share a
+    hash with more than ``crowd`` of other components on average, they are dealt anew by it and each that can be the next one, up to
+    ``deeper`` times; a large component that meets few others stays as it is, as its pairs are no more than a few for each member.
     """
     schema = arrow_schema("token bigint, node bigint")
 
@@ -215,14 +217,15 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int = PERCENT, cr
 
     out = []
     for shared in range(deeper + 1):  # hashes that members of a group share besides the last one
-        groups = rare.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        groups = staged(groups.select("token", "size"), "groups")
-        last = shared == deeper or not groups.where(F.col("size") > crowd).limit(1).count()
-        few = rare.join(groups if last else groups.where(F.col("size") <= crowd), "token").drop("size")
+        groups = rare.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+        groups = groups.groupBy("token").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.count("*").alias("several")).where("several > 1")
+        groups = staged(groups.select("token", ((F.col("size") - F.col("square") / F.col("size")) > crowd).alias("hot")), "groups")
+        last = shared == deeper or not groups.where("hot").limit(1).count()
+        few = rare.join(groups if last else groups.where("not hot"), "token").drop("hot")
         out.append(together(few, F.least("left", "left_b") + shared))
         if last:
             break
-        hot = rare.join(groups.where(F.col("size") > crowd), "token").drop("size")
+        hot = rare.join(groups.where("hot"), "token").drop("hot")
         # Sets so small that what they share already is enough need not share another one.
         out.append(together(hot.where(F.col("n") * percent <= (shared + 1) * 100), F.lit(shared + 1)))
         hot = hot.select(F.col("token").alias("before"), "node", F.col("left").alias("left_before"))
