@@ -1,8 +1,8 @@
 """Anchored cuts: sharding of all fixed-length substrings of a corpus without losing one.
 
 Every window of ``length`` bytes chooses one anchor inside it, the leftmost of its
-``k``-byte substrings with the smallest hash.  The choice depends on the window's bytes
-alone, so equal windows choose equal anchors at equal places.  Windows of a document
+``k``-byte substrings with the smallest hash (of which the first ``64 - PLACE`` bits are compared).  The choice depends on the window's bytes
+alone, whatever else is in the batch, so equal windows choose equal anchors at equal places.  Windows of a document
 that choose the same anchor lie side by side; the bytes that they cover together are a
 *cut*.  All occurrences of any window are in cuts with the same anchor hash.
 """
@@ -14,6 +14,10 @@ import numpy as np
 from cytolake.llm.common import mix64
 
 
+#: Bits of a place in a batch, which stand below those of a hash that are compared.
+PLACE = 24
+
+
 def ladder(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the 8-byte and the ``k``-byte substrings at each place (``k`` a multiple of 8)."""
     n = data.size
@@ -52,12 +56,13 @@ def cuts(docs: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     if not size.size or size.max() < length:
         return empty
     data = np.frombuffer(b"".join(docs), np.uint8)
+    if data.size >> PLACE:
+        raise ValueError(f"a batch of {data.size} bytes is too large")
     begin = np.cumsum(size) - size
     h8, hk = ladder(data, k)
-    bits = int(data.size).bit_length()
-    place = np.arange(hk.size, dtype=np.uint64)
-    low = sliding_min((hk >> np.uint64(bits) << np.uint64(bits)) | place, length - k + 1)  # smallest hash, then leftmost
-    anchor = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+    bits, place = np.uint64(PLACE), np.arange(hk.size, dtype=np.uint64)
+    low = sliding_min((hk >> bits << bits) | place, length - k + 1)  # smallest hash, then leftmost
+    anchor = (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     # A cut opens at a document's first window and wherever the anchor changes; windows over a document's end don't count.
     last = begin + size - length
     long = np.flatnonzero(size >= length)

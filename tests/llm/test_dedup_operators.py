@@ -201,6 +201,25 @@ def test_anchors_bring_equal_windows_together():
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_anchors_dont_depend_on_the_batch(monkeypatch):
+    """Equal windows choose equal anchors also where the compared bits tie, in batches of any size."""
+    monkeypatch.setattr(anchors, "PLACE", 60)  # four bits are compared
+    rnd = random.Random(6)
+    part = bytes(rnd.choice(b"abc") for _ in range(400))
+    chosen = {}
+    for other in ([], [b"x" * 70], [bytes(rnd.choice(b"abc") for _ in range(5000)) for _ in range(40)]):
+        docs = [*other, part]
+        a, _, doc, start, size, at = anchors.cuts(docs, 60, 16)
+        for h, d, s, n, p in zip(*(x.tolist() for x in (a, doc, start, size, at))):
+            if d == len(docs) - 1:
+                for o in range(n - 59):
+                    chosen.setdefault(s + o, set()).add((h, s + p))
+    assert len(chosen) == 341 and all(len(x) == 1 for x in chosen.values())
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(anchors, "PLACE", 8)
+        anchors.cuts([part], 60, 16)
+
+
 def test_shared_suffixes_against_brute_force():
     rnd = random.Random(4)
     strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(12, 30))) for _ in range(200)]
