@@ -1,6 +1,7 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Images are binary columns in PNG (8 bits, not interlaced) or portable grey or pixel maps.
+Images are binary columns in PNG (of any kind) or portable grey or pixel maps. (There is no
+decoder of JPEG here: such images are unreadable.)
 At four scales an octave, as many octaves as the image has, corners (Harris) are found; around each, the direction to the centre
 of intensity turns a fixed set of binary intensity tests, whose outcomes are the
 descriptor (``BITS`` bits).  Descriptors are split into ``TABLES`` parts; descriptors
@@ -10,7 +11,7 @@ in an equi-join, as queries are looked up by each part and by all that differ fr
 corners of the query agree on one movement.  Votes are counted by aggregation, so no
 image's candidates are gathered.
 
-Equal images (byte for byte) are one class, searched once; matches name the class by its
+Equal images (of one SHA-256) are one class, searched once; matches name the class by its
 smallest id and its size.  The search is a stated query set against all rows.
 
 Defined cases: null, empty and unreadable images, and those too small or flat for
@@ -21,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -51,56 +54,97 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (pixels.shape[1], pixels.shape[0]) + pixels.astype(np.uint8).tobytes()
 
 
+def _unfiltered(raw: np.ndarray, unit: int) -> np.ndarray:
+    """The bytes of a PNG's lines, each of which begins with the number of its filter; ``unit`` bytes make a pixel.
+
+    A byte needs those to its left, above it and between, so all that lie on one diagonal are done together.
+    """
+    kind, h = raw[:, :1].astype(np.int16), len(raw)
+    data = raw[:, 1:].reshape(h, -1, unit).astype(np.int16)
+    m = data.shape[1]
+    if kind.max(initial=0) > 4:
+        raise ValueError("an unknown filter")
+    out = np.zeros((h + 1, m + 1, unit), np.int16)  # with a line and a pixel of zeros before
+    for t in range(h + m - 1):
+        y = np.arange(max(0, t - m + 1), min(h, t + 1))
+        x, k = t - y, kind[y]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        pl, pu, pc = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        near = np.where((pl <= pu) & (pl <= pc), left, np.where(pu <= pc, up, corner))
+        add = np.choose(k, [0, left, up, (left + up) >> 1, near])
+        out[y + 1, x + 1] = (data[y, x] + add) & 255
+    return out[1:, 1:].reshape(h, -1).astype(np.uint8)
+
+
+#: First column and row, and steps, of the seven passes of an interlaced PNG.
+_PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
 def _png(data: bytes) -> np.ndarray:
-    width = height = channels = 0
-    at, packed = 8, b""
+    at, packed, palette = 8, [], None
     while at + 8 <= len(data):
-        size, kind = int.from_bytes(data[at:at + 4], "big"), data[at + 4:at + 8]
+        size, name = int.from_bytes(data[at:at + 4], "big"), data[at + 4:at + 8]
         body = data[at + 8:at + 8 + size]
-        if kind == b"IHDR":
+        if name == b"IHDR":
             width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
-            if body[8] != 8 or body[12] or body[9] not in (0, 2, 4, 6):
-                raise ValueError("this kind of PNG isn't read")
-            channels = {0: 1, 2: 3, 4: 2, 6: 4}[body[9]]
-        elif kind == b"IDAT":
-            packed += body
+            bits, colour, interlaced = body[8], body[9], body[12]
+        elif name == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(float).mean(axis=1)
+        elif name == b"IDAT":
+            packed.append(body)
         at += 12 + size
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out, before = np.zeros((height, width * channels), np.uint8), np.zeros(width * channels, np.int64)
-    for y in range(height):
-        line, kind = raw[y, 1:].astype(np.int64), raw[y, 0]
-        if kind == 2:
-            line = (line + before) & 255
-        elif kind:
-            for x in range(line.size):
-                a, b, c = line[x - channels] if x >= channels else 0, before[x], before[x - channels] if x >= channels else 0
-                if kind == 1:
-                    add = a
-                elif kind == 3:
-                    add = (a + b) // 2
-                else:
-                    p = a + b - c
-                    add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] = (line[x] + add) & 255
-        out[y], before = line, line
-    out = out.reshape(height, width, channels)
-    return out[:, :, :3].mean(axis=2) if channels >= 3 else out[:, :, 0].astype(float)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw, at = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8), 0
+    values = np.zeros((height, width, channels), np.float32)
+    for x0, y0, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        line = 1 + -(-w * channels * bits // 8)
+        rows = _unfiltered(raw[at:at + h * line].reshape(h, line), max(1, channels * bits // 8))
+        at += h * line
+        if bits == 16:
+            rows = rows.reshape(h, -1, 2).astype(np.float32) @ np.array([256, 1], np.float32)
+        elif bits < 8:
+            rows = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1])
+        values[y0::dy, x0::dx] = rows[:, :w * channels].reshape(h, w, channels)
+    if colour == 3:
+        return palette[values[:, :, 0].astype(int)]
+    values *= 255 / ((1 << bits) - 1)
+    return values[:, :, :3].mean(axis=2) if channels >= 3 else values[:, :, 0]
+
+
+def _portable(data: bytes) -> np.ndarray | None:
+    """A portable grey or pixel map, as text or bytes, of up to 16 bits; comments stand anywhere in its head."""
+    head, at = [], 0
+    while len(head) < 4:
+        m = _HEAD.match(data, at)
+        head.append(m[1])
+        at = m.end(1)
+    kind, width, height, most = head[0], *map(int, head[1:])
+    if kind not in (b"P2", b"P3", b"P5", b"P6") or not 0 < most < 1 << 16:
+        return None
+    shape = (height, width) + ((3,) if kind in (b"P3", b"P6") else ())
+    n = int(np.prod(shape))
+    if kind in (b"P2", b"P3"):
+        pixels = np.array(data[at:].split()[:n], np.float32).reshape(shape)
+    else:
+        pixels = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1).reshape(shape).astype(np.float32)
+    pixels = pixels * np.float32(255 / most) if most != 255 else pixels
+    return pixels.mean(axis=2) if pixels.ndim == 3 else pixels
+
+
+_HEAD = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """The grey values of an image, or None."""
+    """The grey values (0 to 255) of an image, or None."""
     try:
         if not data:
             return None
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            return _png(data).astype(np.float32)
-        kind, width, height, most = data[:64].split(None, 4)[:4]
-        if kind not in (b"P5", b"P6") or int(most) != 255:
-            return None
-        shape = (int(height), int(width)) + ((3,) if kind == b"P6" else ())
-        pixels = np.frombuffer(data[len(data) - int(np.prod(shape)):], np.uint8).reshape(shape).astype(np.float32)
-        return pixels.mean(axis=2) if kind == b"P6" else pixels
-    except (ValueError, zlib.error, KeyError, IndexError):
+        return _png(data).astype(np.float32) if data[:8] == b"\x89PNG\r\n\x1a\n" else _portable(data)
+    except (ValueError, TypeError, zlib.error, KeyError, IndexError, UnboundLocalError):
         return None
 
 
@@ -172,30 +216,57 @@ def descriptors(x: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-DESCRIBED = "id bigint, corner int, x double, y double, level int, turn int, bits binary"
+CORNER = "struct<corner:int,x:double,y:double,level:int,turn:int,bits:binary>"
+SEEN = f"id bigint, digest binary, corners array<{CORNER}>"
+#: Pixels that are described together; a larger image is described alone.
+PIXELS = 1 << 19
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """The descriptors of all images (``id``, ``image``)."""
-    schema = arrow_schema(DESCRIBED)
+def scanned(df: DataFrame) -> DataFrame:
+    """``id, digest, corners`` of every image (``id``, ``image``): its SHA-256, and the descriptors of the first of its bytes in a task."""
+    schema = arrow_schema(SEEN)
+
+    def stacks(batch):
+        """Rows of a batch whose images are described together: of one size, and not too many pixels."""
+        open_: dict[tuple, list] = {}
+        for k, image in batch:
+            if image is None or not min(image.shape):
+                continue
+            own = open_.setdefault(image.shape, [])
+            if own and (len(own) + 1) * image.size > PIXELS:
+                yield own
+                own = open_[image.shape] = []
+            own.append((k, image))
+        yield from filter(None, open_.values())
 
     def run(batches):
+        done: set[bytes] = set()
         for b in batches:
-            images = [decode(d) for d in b.column(1).to_pylist()]
-            ids, sizes = b.column(0).to_pylist(), {}
-            for k, im in enumerate(images):
-                if im is not None and min(im.shape) > 0:
-                    sizes.setdefault(im.shape, []).append(k)
-            for own in sizes.values():
-                i, x, y, level, turn, bits = descriptors(np.stack([images[k] for k in own]))
+            raw = b.column(1).to_pylist()
+            digests = [None if x is None else hashlib.sha256(x).digest() for x in raw]
+            first = [k for k, d in enumerate(digests) if d is not None and not (d in done or done.add(d))]
+            corners = [None] * len(raw)
+            for own in stacks((k, decode(raw[k])) for k in first):
+                i, *columns_ = descriptors(np.stack([x for _, x in own]))
                 order = np.argsort(i, kind="stable")
-                i = i[order]
-                number = np.arange(i.size) - np.searchsorted(i, i)
-                yield pa.record_batch([
-                    pa.array([ids[own[k]] for k in i.tolist()], pa.int64()), pa.array(number.astype(np.int32)), pa.array(x[order]), pa.array(y[order]),
-                    pa.array(level[order].astype(np.int32)), pa.array(turn[order].astype(np.int32)), pa.array([r.tobytes() for r in bits[order]], pa.binary())], schema=schema)
+                edge = np.searchsorted(i[order], np.arange(len(own) + 1))
+                rows = list(zip(*(c[order].tolist() for c in columns_[:4]), (r.tobytes() for r in columns_[4][order])))
+                for (k, _), at, to in zip(own, edge, edge[1:]):
+                    corners[k] = [dict(zip(("corner", "x", "y", "level", "turn", "bits"), (n, *r))) for n, r in enumerate(rows[at:to])]
+            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(corners, schema.field(2).type)], schema=schema)
+
+    return arrow_map(df.select("id", "image"), run, SEEN, rows=64)
+
+
+def image_classes(seen: DataFrame) -> DataFrame:
+    """``digest, id, class_size, corners``: byte-equal images once, with the smallest id and the descriptors."""
+    return seen.where("digest is not null and id is not null").groupBy("digest").agg(
+        F.min("id").alias("id"), F.count("*").alias("class_size"), F.min_by("corners", F.when(F.col("corners").isNotNull(), F.col("id"))).alias("corners"))
+
 
-    return arrow_map(df.select("id", "image"), run, DESCRIBED, rows=64)
+def described(classes: DataFrame) -> DataFrame:
+    """One row for each descriptor of each class."""
+    return classes.select("id", F.inline("corners"))
 
 
 def _parts(described: DataFrame, prefix: str, neighbours: bool = False) -> DataFrame:
@@ -215,10 +286,10 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     ``n_corners`` corners of the query agree on the movement. Both tables have ``id`` and ``image``.
     """
     queries, images = (columns(d, id="bigint", image="binary").where("id is not null") for d in (queries, images))
-    classes = staged(images.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.count("*").alias("class_size")), "images")
-    asked = queries.where("image is not null").groupBy("image").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids"))
-    asked = staged(asked, "queries")
-    left, right = _parts(staged(describe(asked), "asked"), "q", True), _parts(staged(describe(classes), "described"), "m")
+    classes = staged(image_classes(scanned(images)), "images")
+    seen = staged(scanned(queries), "queries")
+    asked = staged(image_classes(seen), "asked")
+    left, right = _parts(described(asked), "q", True), _parts(described(classes), "m")
     both = left.join(right, ["part", "key"])
     different = sum((F.bit_count(F.conv(F.hex(F.substring("q_bits", i * 3 + 1, 3)), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.hex(F.substring("m_bits", i * 3 + 1, 3)), 16, 10).cast("bigint"))) for i in range(BITS // 24)), F.lit(0))
     near = both.where(different <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
@@ -236,7 +307,8 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
                          F.floor(F.col("dy") / SHIFT + half(1)).alias("yb")).agg(F.countDistinct("q_corner").alias("n"), F.min("t").alias("t"))
     best = bins.where(F.col("n") >= agree).groupBy("q_id", "m_id").agg(F.max(F.struct("n", (-F.col("t")).alias("back"), "s")).alias("b"))
     found = best.select("q_id", F.col("m_id").alias("match_id"), F.col("b.n").alias("n_corners"), (-F.col("b.back")).alias("turn"), F.pow(F.lit(2.0), F.col("b.s") / STEPS).alias("scale"))
-    found = found.join(classes.select(F.col("id").alias("match_id"), "class_size"), "match_id").join(asked.select(F.col("id").alias("q_id"), F.explode("ids").alias("query_id")), "q_id")
+    found = found.join(classes.select(F.col("id").alias("match_id"), "class_size"), "match_id").join(asked.select(F.col("id").alias("q_id"), "digest"), "q_id")
+    found = found.join(seen.select("digest", F.col("id").alias("query_id")).distinct(), "digest")
     return found.select("query_id", "match_id", "class_size", "n_corners", "turn", "scale")
 
 
@@ -289,10 +361,10 @@ def copy_classes(images: DataFrame, found: DataFrame) -> DataFrame:
     ``found`` comes from :func:`find_copies`, a query's id being that of the image that it was made from. Byte-equal
     images have the class of their representative; a null id has no class.
     """
-    images = columns(images, id="bigint", image="binary")
+    images = columns(images, id="bigint", image="binary").select("id", F.sha2("image", 256).alias("digest"))
     links = found.groupBy(F.col("match_id").alias("first")).agg(F.count("*").alias("n_links"), F.max(F.col("query_id") == F.col("match_id")).alias("found"))
-    same = images.where("id is not null and image is not null").groupBy("image").agg(F.min("id").alias("first"))
-    member = staged(images.join(same, "image", "left").select("id", F.coalesce("first", "id").alias("first")), "members")
+    same = images.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("first"))
+    member = staged(images.join(same, "digest", "left").select("id", F.coalesce("first", "id").alias("first")), "members")
     edges = found.select("query_id", "match_id").unionByName(member.where("id is not null").select(F.col("id").alias("query_id"), F.col("first").alias("match_id")))
     classes = connected_components(edges)
     rows = member.join(classes, F.col("id") == F.col("node"), "left").join(links, "first", "left")

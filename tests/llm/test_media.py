@@ -42,6 +42,59 @@ def test_decoding():
         assert media.decode(bad) is None
 
 
+def coded(values: np.ndarray, bits: int, colour: int, interlaced: bool, palette: bytes = b"") -> bytes:
+    """A PNG of samples (height, width, channels) of any depth, unfiltered but for every third line, which has the one above taken off."""
+    h, w, c = values.shape
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    out = b""
+    for x0, y0, dx, dy in media._PASSES if interlaced else [(0, 0, 1, 1)]:
+        own = values[y0::dy, x0::dx]
+        if not own.size:
+            continue
+        binary = ((own[..., None] >> np.arange(bits)[::-1]) & 1).astype(np.uint8).reshape(len(own), -1)
+        lines = np.packbits(binary, axis=1).astype(np.int64)
+        for y, line in enumerate(lines):
+            out += bytes([2 if y % 3 == 1 else 0]) + ((line - (lines[y - 1] if y % 3 == 1 else 0)) & 255).astype(np.uint8).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, int(interlaced))) + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(out)) + part(b"IEND", b"")
+
+
+def test_decoding_of_every_kind_of_png():
+    rnd = np.random.default_rng(3)
+    for interlaced in (False, True):
+        for colour, channels, depths in ((0, 1, (1, 2, 4, 8, 16)), (2, 3, (8, 16)), (3, 1, (1, 2, 4, 8)), (4, 2, (8, 16)), (6, 4, (8, 16))):
+            for bits in depths:
+                for h, w in ((9, 13), (1, 1), (3, 8)):
+                    v = rnd.integers(0, 1 << bits, (h, w, channels))
+                    palette = rnd.integers(0, 256, (1 << bits, 3)).astype(np.uint8) if colour == 3 else None
+                    got = media.decode(coded(v, bits, colour, interlaced, palette.tobytes() if colour == 3 else b""))
+                    want = palette.mean(axis=1)[v[..., 0]] if colour == 3 else (v[..., :3].mean(axis=2) if channels >= 3 else v[..., 0]) * 255 / ((1 << bits) - 1)
+                    assert np.allclose(got, want, atol=1e-3)
+    large = rnd.integers(0, 256, (300, 400)).astype(np.uint8)
+    for kind in (3, 4):
+        assert np.array_equal(media.decode(png(large, kind)), large)
+
+
+def test_decoding_of_portable_maps():
+    assert np.allclose(media.decode(b"P5 # a comment\n# another\n 2 2 # more\n255\n" + bytes([0, 35, 9, 255])), [[0, 35], [9, 255]])
+    assert np.allclose(media.decode(b"P5 2 1 65535\n" + bytes([255, 255, 0, 0])), [[255, 0]])
+    assert np.allclose(media.decode(b"P2\n2 1\n15\n15 3\n"), [[255, 51]]) and np.allclose(media.decode(b"P3 1 1 255 3 6 9"), [[6]])
+    for bad in (b"P5 2 2 0\n0000", b"P5 2 2", b"P7 2 2 255\n0000", b"P2 2 2 255 1 2 x 4"):
+        assert media.decode(bad) is None
+
+
+def test_large_images_are_described_alone(spark, monkeypatch):
+    """However images are stacked, their descriptors are the same; of equal ones in a task only the first is described."""
+    rows = [(i, media.encode_pgm(picture(i % 4))) for i in range(9)] + [(20, media.encode_pgm(np.tile(picture(1), (1, 2))))]
+    df = spark.createDataFrame(rows, "id bigint, image binary").coalesce(1)
+    got = {r.id: r.corners for r in media.scanned(df).collect()}
+    assert [got[i] is None for i in range(9)] == [False] * 4 + [True] * 5
+    for i in (0, 1, 2, 3):
+        alone = media.descriptors(picture(i)[None].astype(np.float32))
+        assert sorted(bytes(c.bits) for c in got[i]) == sorted(r.tobytes() for r in alone[5])
+    classes = {r.id: r for r in media.image_classes(media.scanned(df.repartition(4))).collect()}
+    assert {i: r.class_size for i, r in classes.items()} == {0: 3, 1: 2, 2: 2, 3: 2, 20: 1} and all(r.corners for r in classes.values())
+
+
 def test_descriptors_follow_edits():
     p = picture(2)
     base = media.descriptors(p[None])
