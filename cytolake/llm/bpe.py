@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -54,6 +55,115 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+#: No pair of these can be merged.
+NEVER = 1 << 40
+
+
+class Merger:
+    """Merges the bytes of words pair by pair: always the pair that comes first in the merges' list, the leftmost of equal ones."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, alphabet: list[str], whole_first: bool = False):
+        pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in merges]
+        self.size = max(vocab.values(), default=0) + 1
+        key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.rank = key[order], order  # of a pair that is listed twice, the last place counts
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.byte = np.array([vocab[c] for c in alphabet], np.int64)
+        self._lists = self.byte.tolist(), self.made.tolist(), dict(zip(self.key.tolist(), self.rank.tolist())), self.size
+        back = {c: i for i, c in enumerate(alphabet)}
+        self.whole = {bytes(back[c] for c in t): i for t, i in vocab.items() if all(c in back for c in t)} if whole_first else {}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The places of pairs in the list, ``NEVER`` for one that isn't in it or has no second part."""
+        if not self.key.size:
+            return np.full(left.shape, NEVER)
+        key = left * self.size + right
+        at = np.searchsorted(self.key, key, side="right") - 1
+        return np.where((self.key[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NEVER)
+
+    def merged(self, words: list[bytes], together: int = 64, few: int = 200) -> list[list[int]]:
+        """The ids of some words; if many are of about one length, these take each step together, others are merged by a heap."""
+        out: list = [None] * len(words)
+        lots: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.whole:
+                out[i] = [self.whole[w]]
+            elif len(w) > together:
+                out[i] = self.merged_alone(w)
+            else:
+                lots.setdefault((len(w) + 3) // 4, []).append(i)
+        for fours, lot in lots.items():
+            if len(lot) < few:
+                for i in lot:
+                    out[i] = self.merged_alone(words[i])
+                continue
+            for at in range(0, len(lot), 4096):
+                own = lot[at:at + 4096]
+                for i, ids in zip(own, self._lot([words[i] for i in own], max(1, 4 * fours))):
+                    out[i] = ids
+        return out
+
+    def _lot(self, words: list[bytes], width: int) -> list[list[int]]:
+        chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        place, length = np.arange(width), np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.full((len(words), width + 1), -1)
+        ids[:, :width] = np.where(place < length[:, None], self.byte[chars], -1)
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        active, done = np.arange(len(words)), ids.copy()
+        place = np.arange(width + 1)
+        while active.size:
+            j = rank.argmin(axis=1)
+            row = np.arange(active.size)
+            best = rank[row, j]
+            more = best < NEVER
+            if not more.all():
+                done[active[~more]] = ids[~more]
+                active, ids, rank, j, best = active[more], ids[more], rank[more], j[more], best[more]
+                row = np.arange(active.size)
+                if not active.size:
+                    break
+            ids[row, j] = self.made[best]
+            after = np.minimum(place + (place > j[:, None]), width)  # without the second part
+            ids = np.take_along_axis(ids, after, axis=1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(after[:, :-1], width - 1), axis=1)
+            rank[:, -1] = NEVER
+            rank[row, j] = self.ranks(ids[row, j], ids[row, np.minimum(j + 1, width)])
+            before = np.flatnonzero(j > 0)
+            rank[before, j[before] - 1] = self.ranks(ids[before, j[before] - 1], ids[before, j[before]])
+        return [r[:n].tolist() for r, n in zip(done, (done >= 0).sum(axis=1).tolist())]
+
+    def merged_alone(self, word: bytes) -> list[int]:
+        """The ids of one word of any length, in time that its length times its logarithm bounds."""
+        byte, made, place, size = self._lists
+        own, n = [byte[c] for c in word], len(word)
+        now = [place.get(own[i] * size + own[i + 1], NEVER) for i in range(n - 1)] + [NEVER]  # of the pair that begins here
+        heap = [(r, i) for i, r in enumerate(now) if r < NEVER]
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now[i] != r:
+                continue
+            j = after[i]
+            own[i], own[j], now[j] = made[r], -1, NEVER
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                now[i] = place.get(own[i] * size + own[k], NEVER)
+                if now[i] < NEVER:
+                    heapq.heappush(heap, (now[i], i))
+            else:
+                now[i] = NEVER
+            h = before[i]
+            if h >= 0:
+                now[h] = place.get(own[h] * size + own[i], NEVER)
+                if now[h] < NEVER:
+                    heapq.heappush(heap, (now[h], h))
+        return [x for x in own if x >= 0]
+
+
 class Bpe:
     """Exact byte-level BPE from a tokenizer file of the tokenizers library."""
 
@@ -70,7 +180,8 @@ class Bpe:
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         library = Tokenizer.from_file(path)
-        self.pre, self.tokenize, self.alphabet = library.pre_tokenizer, library.model.tokenize, dict(enumerate(alphabet))
+        self.pre = library.pre_tokenizer
+        self.merger = Merger(vocab, spec["model"]["merges"], alphabet, bool(spec["model"].get("ignore_merges")))
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
@@ -84,10 +195,6 @@ class Bpe:
             return self.words(text)
         return [x for part in self.split_special.split(text) for x in ([part] if part in self.special else self.words(part))]
 
-    def merged(self, word: bytes) -> list[int]:
-        """The ids of a pre-token by merging pairs, exactly, with the library's model."""
-        return [t.id for t in self.tokenize(word.decode("latin-1").translate(self.alphabet))]
-
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -256,7 +363,8 @@ def frequent_words(df: DataFrame, path: str, size: int = LEXICON, least_share: f
 def build_lexicon(df: DataFrame, path: str, size: int = LEXICON) -> bytes:
     """The compiled lexicon of the corpus' frequent words."""
     bpe = Bpe(path)
-    return compile_lexicon({w.encode(): bpe.merged(w.encode()) for w in frequent_words(df, path, size)})
+    words = [w.encode() for w in frequent_words(df, path, size)]
+    return compile_lexicon(dict(zip(words, bpe.merger.merged(words))))
 
 
 class Encoder:
@@ -269,10 +377,13 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't remembered: those of the lexicon by its automaton, the others by merging."""
-        merged, decode, ids, raw = self.bpe.merged, self.bpe.decode_bytes, self.ids, self.raw
+        decode, ids, raw = self.bpe.decode_bytes, self.ids, self.raw
         split = [w.encode() for w in words]
-        for w, b, found in zip(words, split, self.lexicon.find(split)):
-            own = merged(b) if found is None else found
+        found = self.lexicon.find(split)
+        rest = [i for i, own in enumerate(found) if own is None]
+        for i, own in zip(rest, self.bpe.merger.merged([split[i] for i in rest])):
+            found[i] = own
+        for w, own in zip(words, found):
             ids[w] = ",".join(map(str, own))
             raw[w] = decode(own)
 

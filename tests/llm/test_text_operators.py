@@ -1,6 +1,7 @@
 """BPE, HTML extraction, chat formatting and packing."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -36,6 +37,21 @@ def test_lexicon_is_minimal_and_maps_words():
     assert bpe.Lexicon(bpe.compile_lexicon({})).find([b"a"]) == [None]
 
 
+def test_merging_equals_the_library():
+    """Words of corpora, of random bytes, of one byte, and long ones, in lots and alone; lists of merges with ties."""
+    rnd, own = random.Random(0), bpe.Bpe(BYTE)
+    model, letters = Tokenizer.from_file(BYTE).model, dict(enumerate(bpe.byte_alphabet()))
+    words = [w.encode() for _, t in ODD for w in own.words((t or "")[:5000])] + [b"", b"a" * 64, b"a" * 65, b" " * 700]
+    words += [bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 40))) for _ in range(2000)] + [bytes(rnd.choice(b"abcde the") for _ in range(rnd.randrange(1, 200))) for _ in range(500)]
+    want = [[x.id for x in model.tokenize(w.decode("latin-1").translate(letters))] for w in words]
+    assert own.merger.merged(words) == own.merger.merged(words, few=1 << 30) == own.merger.merged(words, together=3, few=0) == want
+    small = bpe.Merger({"a": 0, "b": 1, "ab": 2, "aba": 3, "aa": 4}, ["a b", ["ab", "a"], "a a"], ["a", "b"] + ["a"] * 254)
+    for few in (0, 100):
+        assert small.merged([b"\0\1\0\1\0", b"\0\0\0\0\0", b"\1", b""], few=few) == [[2, 3], [4, 4, 0], [1], []]
+    assert bpe.Merger({"a": 0}, [], ["a"] * 256).merged([b"xyz"], few=0) == [[0, 0, 0]]
+    assert bpe.Merger({"a": 0, "aa": 1, "aaa": 2}, ["a a"], ["a"] + ["x"] * 0 + ["a"] * 255, True).whole
+
+
 def test_op1_equals_the_library(spark, tiny):
     texts = {r.doc_id: r.text for r in documents(spark, tiny).collect()}
     got = QUERIES["op1_bpe_roundtrip"](spark, tiny).collect()
