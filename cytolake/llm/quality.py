@@ -40,10 +40,12 @@ THRESHOLD = 0.7
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b".", b",", b"!", b"?'\"", b"|", b"#", b"$", b"%",
            b"&", b"*", b":;-()", b"=/@_<>", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))]
 CLASSES = len(_GROUPS) + 1
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 for _i, _g in enumerate(_GROUPS, 1):
     _CLASS[list(_g)] = _i
 WIDTH = CLASSES * CLASSES + 4
+#: Passages that are counted or scored at a time.
+SLICE = 1024
 
 
 def passages(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +64,14 @@ def passages(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if space.size:
         at = space[np.minimum(np.searchsorted(space, start[inner]), space.size - 1)] + 1
         start[inner] = np.where((at > start[inner]) & (at < start[inner] + PASSAGE // 2), at, start[inner])
-    owner = np.zeros(data.size, np.int64)
-    owner[start[1:]] = 1
-    owner = np.cumsum(owner)
-    n = start.size
-    pair = np.bincount(owner[:-1] * (CLASSES * CLASSES) + kind[:-1] * CLASSES + kind[1:], minlength=n * CLASSES * CLASSES)
-    pair = pair[:n * CLASSES * CLASSES].reshape(n, -1).astype(np.float32)
-    total = pair.sum(axis=1, keepdims=True)
-    out = np.empty((n, WIDTH), np.float32)
-    out[:, :-4] = np.sqrt(pair / np.maximum(total, 1))
+    n, pairs = start.size, CLASSES * CLASSES
+    out, edge = np.empty((n, WIDTH), np.float32), np.append(start, data.size)
+    for i in range(0, n, SLICE):
+        j = min(n, i + SLICE)
+        own = kind[edge[i]:edge[j] + 1].astype(np.int64)  # with the first byte after them, the second of the last pair
+        owner = np.repeat(np.arange(j - i), np.diff(edge[i:j + 1]))[:own.size - 1]
+        pair = np.bincount(owner * pairs + own[:-1] * CLASSES + own[1:], minlength=(j - i) * pairs).reshape(j - i, -1).astype(np.float32)
+        out[i:j, :-4] = np.sqrt(pair / np.maximum(pair.sum(axis=1, keepdims=True), 1))
     # How well the text compresses, for its length; and its length.
     packed = np.array([len(zlib.compress(t, 1)) for t in batch], np.float32)
     ratio = packed / np.maximum(size, 1)
@@ -132,7 +133,14 @@ class GatedAttention:
     def score(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(count.size, self.constant)
-        return self.forward((x - self.mean) * self.scale, count)["score"].astype(float)
+        p, first = self.p, np.cumsum(count) - count
+        h, e = np.empty((len(x), HIDDEN), np.float32), np.empty(len(x), np.float32)
+        for i in range(0, len(x), SLICE):
+            h[i:i + SLICE] = own = np.tanh((x[i:i + SLICE] - self.mean) * self.scale @ p["W"] + p["b"])
+            e[i:i + SLICE] = (np.tanh(own @ p["V"]) / (1 + np.exp(-(own @ p["U"])))) @ p["w"]
+        e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), count))
+        z = np.add.reduceat(h * (e / np.repeat(np.add.reduceat(e, first), count))[:, None], first)
+        return (1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))).astype(float)
 
 
 def passages_each(sizes: dict[int, int], most: int) -> int:

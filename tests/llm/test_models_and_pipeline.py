@@ -64,6 +64,20 @@ def test_op6_whole_texts_count():
     assert m[0] >= n[0] > 20 and not np.allclose(a[-1], b[-1])
 
 
+def test_op6_slices_change_nothing(monkeypatch):
+    """Passages are counted and scored a slice at a time, as if all at once."""
+    rnd = random.Random(5)
+    batch = ["".join(rnd.choice("ab cd.EF 1#é\n") for _ in range(rnd.choice([0, 1, 300, 5000, 60_000]))).encode() for _ in range(12)]
+    x, count = quality.passages(batch)
+    model = quality.GatedAttention(quality.WIDTH).fit(x, count, (np.arange(12) % 2).astype(np.float32), epochs=5)
+    whole = model.forward((x - model.mean) * model.scale, count)["score"]
+    assert np.allclose(model.score(x, count), whole, atol=1e-6)
+    for n in (1, 7, 10**6):
+        monkeypatch.setattr(quality, "SLICE", n)
+        y, again = quality.passages(batch)
+        assert np.array_equal(x, y) and np.array_equal(count, again) and np.allclose(model.score(y, again), whole, atol=1e-6)
+
+
 def test_op6_long_labelled_text_costs_no_other_its_place(spark):
     """Labelled texts longer than the whole sample's passages leave the others in the fit."""
     good, bad = "plain words follow each other here. ", "### $$$ !!! BUY 123 "
