@@ -4,8 +4,8 @@ Images are binary columns in PNG (of any kind) or portable grey or pixel maps. (
 decoder of JPEG here: such images are unreadable.)
 At four scales an octave, as many octaves as the image has, corners (Harris) are found; around each, the direction to the centre
 of intensity turns a fixed set of binary intensity tests, whose outcomes are the
-descriptor (``BITS`` bits).  Descriptors are split into ``TABLES`` parts; descriptors
-with at most ``2 * TABLES - 1`` different bits have a part with at most one, and meet there
+descriptor (``BITS`` bits).  The first ``INDEXED`` of them are split into ``TABLES`` parts; descriptors
+of which at most ``2 * TABLES - 1`` of these differ have a part with at most one, and meet there
 in an equi-join, as queries are looked up by each part and by all that differ from it in one bit.  Each pair of descriptors within ``MOST_BITS`` bits votes for the movement
 (turn, scale, shift) that takes one corner to the other; an image is a match if enough
 corners of the query agree on one movement.  Votes are counted by aggregation, so no
@@ -28,14 +28,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.llm.common import arrow_map, arrow_schema, columns, staged, table
 from cytolake.llm.components import connected_components
 
-#: Scales in an octave, radius of a descriptor's patch, tests in it, parts of the tables, differing bits of a match.
-STEPS, RADIUS, BITS, TABLES, MOST_BITS = 4, 13, 120, 5, 16
+#: Scales in an octave, radius of a descriptor's patch, tests in it, those in the tables, parts of these, differing bits of a match.
+STEPS, RADIUS, BITS, INDEXED, TABLES, MOST_BITS = 4, 13, 256, 120, 5, 34
 #: Corners closer than this are one; share of the image's strongest response that a corner needs.
 APART, LEAST_RESPONSE = 4, 0.02
 #: Turns in a circle, side of a bin of shifts in pixels, corners that must agree.
@@ -216,7 +216,7 @@ def descriptors(x: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-CORNER = "struct<corner:int,x:double,y:double,level:int,turn:int,bits:binary>"
+CORNER = "struct<corner:int,x:double,y:double,level:int,turn:int,keys:array<int>,words:array<bigint>>"
 SEEN = f"id bigint, digest binary, corners array<{CORNER}>"
 #: Pixels that are described together; a larger image is described alone.
 PIXELS = 1 << 19
@@ -250,9 +250,11 @@ def scanned(df: DataFrame) -> DataFrame:
                 i, *columns_ = descriptors(np.stack([x for _, x in own]))
                 order = np.argsort(i, kind="stable")
                 edge = np.searchsorted(i[order], np.arange(len(own) + 1))
-                rows = list(zip(*(c[order].tolist() for c in columns_[:4]), (r.tobytes() for r in columns_[4][order])))
+                bits = np.ascontiguousarray(columns_[4][order])
+                parts = bits[:, :INDEXED // 8].reshape(len(bits), TABLES, -1).astype(np.int64) @ (256 ** np.arange(INDEXED // 8 // TABLES)[::-1])
+                rows = list(zip(*(c[order].tolist() for c in columns_[:4]), parts.tolist(), bits.view(np.int64).reshape(len(bits), -1).tolist()))
                 for (k, _), at, to in zip(own, edge, edge[1:]):
-                    corners[k] = [dict(zip(("corner", "x", "y", "level", "turn", "bits"), (n, *r))) for n, r in enumerate(rows[at:to])]
+                    corners[k] = [dict(zip(("corner", "x", "y", "level", "turn", "keys", "words"), (n, *r))) for n, r in enumerate(rows[at:to])]
             yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(corners, schema.field(2).type)], schema=schema)
 
     return arrow_map(df.select("id", "image"), run, SEEN, rows=64)
@@ -271,13 +273,15 @@ def described(classes: DataFrame) -> DataFrame:
 
 def _parts(described: DataFrame, prefix: str, neighbours: bool = False) -> DataFrame:
     """One row for each part of a descriptor: ``part`` and its ``key``; with ``neighbours`` also for each key one bit away."""
-    width = BITS // 8 // TABLES
-    number = lambda t: F.conv(F.hex(F.substring("bits", t * width + 1, width)), 16, 10).cast("bigint")
-    flips = [0, *(1 << k for k in range(8 * width))] if neighbours else [0]
-    cut = [F.struct(F.lit(t).alias("part"), number(t).alias("key")) for t in range(TABLES)]
-    rows = described.select(F.explode(F.array(*cut)).alias("k"), *[F.col(c).alias(f"{prefix}_{c}") for c in described.columns])
-    rows = rows.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("bigint") for x in flips])))
-    return rows.select("k.part", F.col("k.key").bitwiseXOR(F.col("flip")).alias("key"), *[f"{prefix}_{c}" for c in described.columns])
+    flips = [0, *(1 << k for k in range(INDEXED // TABLES))] if neighbours else [0]
+    named = [F.col(c).alias(f"{prefix}_{c}") for c in described.columns if c != "keys"]
+    rows = described.select(F.posexplode("keys").alias("part", "key"), *named).withColumn("flip", F.explode(F.array(*map(F.lit, flips))))
+    return rows.withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+
+
+def difference() -> Column:
+    """The number of different bits of a query's and an image's descriptor."""
+    return sum((F.bit_count(F.col("q_words")[i].bitwiseXOR(F.col("m_words")[i])) for i in range(BITS // 64)), F.lit(0))
 
 
 def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BITS, agree: int = AGREE) -> DataFrame:
@@ -291,8 +295,7 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     asked = staged(image_classes(seen), "asked")
     left, right = _parts(described(asked), "q", True), _parts(described(classes), "m")
     both = left.join(right, ["part", "key"])
-    different = sum((F.bit_count(F.conv(F.hex(F.substring("q_bits", i * 3 + 1, 3)), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.hex(F.substring("m_bits", i * 3 + 1, 3)), 16, 10).cast("bigint"))) for i in range(BITS // 24)), F.lit(0))
-    near = both.where(different <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
+    near = both.where(difference() <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
     turn = (F.col("m_turn") - F.col("q_turn") + TURNS) % TURNS
     finer = F.col("m_level") - F.col("q_level")
     scale = F.pow(F.lit(2.0), finer / STEPS)

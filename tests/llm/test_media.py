@@ -90,7 +90,8 @@ def test_large_images_are_described_alone(spark, monkeypatch):
     assert [got[i] is None for i in range(9)] == [False] * 4 + [True] * 5
     for i in (0, 1, 2, 3):
         alone = media.descriptors(picture(i)[None].astype(np.float32))
-        assert sorted(bytes(c.bits) for c in got[i]) == sorted(r.tobytes() for r in alone[5])
+        assert sorted(np.array(c.words, np.int64).tobytes() for c in got[i]) == sorted(r.tobytes() for r in alone[5])
+        assert all(c["keys"] == [int.from_bytes(np.array(c.words, np.int64).tobytes()[3 * k:3 * k + 3], "big") for k in range(media.TABLES)] for c in got[i])
     classes = {r.id: r for r in media.image_classes(media.scanned(df.repartition(4))).collect()}
     assert {i: r.class_size for i, r in classes.items()} == {0: 3, 1: 2, 2: 2, 3: 2, 20: 1} and all(r.corners for r in classes.values())
 
@@ -107,13 +108,33 @@ def test_descriptors_follow_edits():
 
 
 def test_tables_keep_every_pair_within_the_guarantee():
-    """Bits that differ in fewer places than there are tables leave one part whole."""
+    """Bits that differ in fewer than twice as many places as there are tables leave one part with at most one."""
     rnd = np.random.default_rng(0)
     for _ in range(500):
-        wrong = np.zeros(media.BITS, int)
-        wrong[rnd.choice(media.BITS, media.TABLES - 1, replace=False)] = 1
-        assert (wrong.reshape(media.TABLES, -1).sum(axis=1) == 0).any()
-    assert media.BITS % (8 * media.TABLES) == 0 and media.BITS % 24 == 0
+        wrong = np.zeros(media.INDEXED, int)
+        wrong[rnd.choice(media.INDEXED, 2 * media.TABLES - 1, replace=False)] = 1
+        assert (wrong.reshape(media.TABLES, -1).sum(axis=1) <= 1).any()
+    assert media.INDEXED % (8 * media.TABLES) == 0 and media.BITS % 64 == 0
+
+
+def test_op3_meets_every_pair_that_it_must(spark):
+    """The join against all pairs of descriptors: those of at most nine different indexed bits, and of few enough in all."""
+    rnd = np.random.default_rng(7)
+    some = rnd.integers(0, 256, (40, media.BITS // 8)).astype(np.uint8)
+    other = np.repeat(some, 3, axis=0)
+    for r in other:
+        for b in rnd.choice(media.BITS, rnd.integers(0, 40), replace=False):
+            r[b // 8] ^= 1 << (b % 8)
+
+    def rows(bits):
+        keys = bits[:, :15].reshape(len(bits), 5, 3).astype(int) @ np.array([65536, 256, 1])
+        return spark.createDataFrame([(i, k.tolist(), w.tolist()) for i, (k, w) in enumerate(zip(keys, np.ascontiguousarray(bits).view(np.int64)))], "id bigint, keys array<int>, words array<bigint>")
+
+    different = np.unpackbits(some[:, None] ^ other[None], axis=2)
+    must = {(i, j) for i, j in zip(*np.nonzero((different[..., :media.INDEXED].sum(axis=2) <= 9) & (different.sum(axis=2) <= media.MOST_BITS)))}
+    both = media._parts(rows(some), "q", True).join(media._parts(rows(other), "m"), ["part", "key"])
+    got = {(r.q_id, r.m_id): r.d for r in both.select("q_id", "m_id", media.difference().alias("d")).collect()}
+    assert len(must) > 30 and must <= set(got) and all(got[p] == different[p].sum() for p in got)
 
 
 def test_op3_finds_every_edited_copy(spark):
