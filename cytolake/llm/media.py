@@ -251,8 +251,8 @@ def scanned(df: DataFrame) -> DataFrame:
                 order = np.argsort(i, kind="stable")
                 edge = np.searchsorted(i[order], np.arange(len(own) + 1))
                 bits = np.ascontiguousarray(columns_[4][order])
-                parts = bits[:, :INDEXED // 8].reshape(len(bits), TABLES, -1).astype(np.int64) @ (256 ** np.arange(INDEXED // 8 // TABLES)[::-1])
-                rows = list(zip(*(c[order].tolist() for c in columns_[:4]), parts.tolist(), bits.view(np.int64).reshape(len(bits), -1).tolist()))
+                parts = bits[:, :INDEXED // 8].reshape(len(bits), TABLES, INDEXED // 8 // TABLES).astype(np.int64) @ (256 ** np.arange(INDEXED // 8 // TABLES)[::-1])
+                rows = list(zip(*(c[order].tolist() for c in columns_[:4]), parts.tolist(), bits.view(np.int64).reshape(len(bits), BITS // 64).tolist()))
                 for (k, _), at, to in zip(own, edge, edge[1:]):
                     corners[k] = [dict(zip(("corner", "x", "y", "level", "turn", "keys", "words"), (n, *r))) for n, r in enumerate(rows[at:to])]
             yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(corners, schema.field(2).type)], schema=schema)
