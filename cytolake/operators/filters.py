@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.operators.model import Study
+from cytolake.operators.ranks import quantile
 
 
 def sample_missingness(cells: DataFrame, n_probes: int | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def probe_variance(cells: DataFrame) -> DataFrame:
 def filter_low_variance(cells: DataFrame, min_percentile: float = 10.0) -> DataFrame:
     """Cells of probes whose variance is at least that percentile of all (or equal to it but for rounding); the threshold is one row."""
     variance = probe_variance(cells).where(F.col("variance").isNotNull() & ~F.isnan("variance"))
-    least = variance.agg(F.percentile("variance", F.lit(min_percentile / 100)).alias("least"))
+    least = quantile(variance, "variance", min_percentile / 100, out="least")
     keep = variance.crossJoin(F.broadcast(least)).where("variance >= least * (1 - 1e-9D)").select("probe_id")  # one row
     return cells.join(keep, "probe_id", "left_semi")
 

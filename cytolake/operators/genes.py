@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cytolake.functions.expressions import clean_chromosome
 
 BIN = 1 << 17
+#: A site is its place.
+SITE = "struct<chr:string,pos:bigint>"
 
 
 def overlapping(sites: DataFrame, genes: DataFrame, bin_size: int = BIN) -> DataFrame:
@@ -40,7 +42,7 @@ def _beside(sites: DataFrame, genes: DataFrame, edge: str, after: bool) -> DataF
     key = F.col("pos") if not after else -F.col("pos")
     place = F.col(edge) if not after else -F.col(edge)
     # Ties in the edge: the smallest gene order must be the last one seen.
-    points = genes.groupBy("chr", place.alias("key")).agg(F.min("gene_ord").alias("gene_ord")).select("chr", "key", "gene_ord", F.lit(None).cast("bigint").alias("site"))
+    points = genes.groupBy("chr", place.alias("key")).agg(F.min("gene_ord").alias("gene_ord")).select("chr", "key", "gene_ord", F.lit(None).cast(SITE).alias("site"))
     asks = sites.select("chr", key.alias("key"), F.lit(None).cast("bigint").alias("gene_ord"), F.col("site"))
     both = points.unionByName(asks).withColumn("_tile", F.floor(F.col("key") / (1 << 22)))
     last = both.where("gene_ord is not null").groupBy("chr", "_tile").agg(F.max_by("gene_ord", "key").alias("_g"))
@@ -62,7 +64,7 @@ def map_to_genes(dms: DataFrame, genes: DataFrame, key: str = "probe_id", max_di
         genes = genes.withColumn("strand", F.lit(None).cast("string"))
     genes = genes.select("gene_ord", clean_chromosome("chr").alias("chr"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "gene_symbol", "strand")
     rows = dms.withColumn("chr", clean_chromosome("chr"))
-    sites = rows.select("chr", F.col("pos").cast("bigint").alias("pos")).distinct().withColumn("site", F.xxhash64("chr", "pos"))
+    sites = rows.select("chr", F.col("pos").cast("bigint").alias("pos")).distinct().withColumn("site", F.struct("chr", "pos"))
     held = overlapping(sites, genes).groupBy("site").agg(F.min("gene_ord").alias("gene_ord"))
     rest = sites.join(held, "site", "left_anti")
     near = _beside(rest, genes, "end", False).unionByName(_beside(rest, genes, "start", True))
@@ -71,7 +73,7 @@ def map_to_genes(dms: DataFrame, genes: DataFrame, key: str = "probe_id", max_di
     best = near.groupBy("site").agg(F.min(F.struct(d.alias("d"), "gene_ord")).alias("b")).where(F.col("b.d") <= max_distance).select("site", F.col("b.gene_ord").alias("gene_ord"))
     chosen = held.unionByName(best).join(genes.drop("chr"), "gene_ord")
     known = genes.select("chr").distinct().withColumn("_known", F.lit(True))
-    out = rows.withColumn("site", F.xxhash64("chr", F.col("pos").cast("bigint"))).join(chosen, "site", "left").join(F.broadcast(known), "chr", "left")
+    out = rows.withColumn("site", F.struct("chr", F.col("pos").cast("bigint").alias("pos"))).join(chosen, "site", "left").join(F.broadcast(known), "chr", "left")
     r = relation(F.col("pos").cast("bigint"), F.col("start"), F.col("end"), F.col("strand"), **cutoffs)
     out = out.withColumn("_r", F.when(F.col("gene_ord").isNotNull(), r))
     return out.select(*dms.columns, F.col("gene_symbol").alias("nearest_gene"), F.coalesce("_r.relation", F.when(F.col("_known"), F.lit("intergenic"))).alias("relation"), F.col("_r.distance_bp").alias("distance_bp"))
@@ -101,7 +103,7 @@ def liftover(regions: DataFrame, blocks: DataFrame, chr_col: str = "chr", start_
     ``blocks`` come from :func:`chain_blocks`; of several for a position, the first by target. Regions that can't
     be lifted keep null coordinates.
     """
-    rows = regions.withColumn("_id", F.xxhash64(chr_col, start_col, end_col))
+    rows = regions.withColumn("_id", F.struct(chr_col, start_col, end_col))
     b = blocks.withColumn("chr", clean_chromosome("chr")).withColumn("end", F.col("end") - 1)
 
     def end_of(column: str, name: str) -> DataFrame:

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.functions.special import digamma, f_pvalue, t_pvalue, trigamma_inverse
+from cytolake.operators.model import flat, nested
 from cytolake.operators.multitest import adjust
+from cytolake.operators.ranks import quantile
 
 #: Prior degrees of freedom where the variances give no estimate.
 FALLBACK_DF = 1e6
@@ -104,23 +106,25 @@ def fitted(packed: DataFrame, design: pd.DataFrame, contrasts: np.ndarray, robus
         for b in batches:
             if not b.num_rows:
                 continue
-            flat = b.column(1).flatten()
-            y = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(x))
+            y = flat(b.column(1), len(x))
             got = fit_rows(y, x, contrasts, robust, lower, upper, min_count, missing, whole)
             ok = np.flatnonzero(np.isfinite(got["s2"]) & (got["df_resid"] > 0))
-            arrays = [b.column(0).take(pa.array(ok)), pa.array(list(got["beta"][ok]), pa.list_(pa.float64())), pa.array(got["s2"][ok]),
+            arrays = [b.column(0).take(pa.array(ok)), nested(got["beta"][ok]), pa.array(got["s2"][ok]),
                       pa.array(got["n_obs"][ok].astype(np.int64)), pa.array(got["df_resid"][ok])]
             if residuals:
-                arrays.append(pa.array([[None if np.isnan(v) else v for v in r] for r in got["residuals"][ok].tolist()], pa.list_(pa.float64())))
+                arrays.append(nested(got["residuals"][ok]))
             yield pa.record_batch(arrays, schema=schema)
 
     return packed.select("probe_id", "values").mapInArrow(run, ddl)
 
 
 def smyth_prior(fit: DataFrame, robust: bool = True, by: list[str] | None = None) -> DataFrame:
-    """``middle, spread, n`` of the logarithms of the positive variances: what the prior is solved from."""
-    log = F.log("s2")
-    return fit.where("s2 > 0").groupBy(*(by or [])).agg((F.median(log) if robust else F.avg(log)).alias("middle"), F.var_samp(log).alias("spread"), F.count("*").alias("n"))
+    """``middle, spread, n`` of the logarithms of the positive variances: what the prior is solved from. Groups of ``by`` are small."""
+    rows, log = fit.where("s2 > 0"), F.log("s2")
+    if by or not robust:
+        return rows.groupBy(*(by or [])).agg((F.median(log) if robust else F.avg(log)).alias("middle"), F.var_samp(log).alias("spread"), F.count("*").alias("n"))
+    moments = rows.agg(F.var_samp(log).alias("spread"), F.count("*").alias("n"))
+    return quantile(rows, log, 0.5, out="middle").crossJoin(F.broadcast(moments))  # one row each
 
 
 def solve_prior(middle: float | None, spread: float | None, n: int) -> Prior:
@@ -139,7 +143,7 @@ def choose_prior(fit: DataFrame, shrink, n_samples: int, max_d0: float = 50.0, r
     """The prior for ``shrink``: "none", "median", "smyth", a number of degrees of freedom, or "auto" by the number of samples."""
     def middle() -> float:
         # The median isn't moved by winsorising both sides.
-        return fit.agg(F.median("s2")).first()[0]
+        return quantile(fit, "s2", 0.5).first()[0]
 
     if shrink == "auto":
         if n_samples < 10:
@@ -193,7 +197,7 @@ def fit_differential(packed: DataFrame, design: pd.DataFrame, contrast=None, con
 
     Neither contrast gives the variance columns alone; both raise a ValueError, as does a matrix without any row
     that can be fitted. The fit, a few numbers per probe, is read several times (prior, adjustment, result): with
-    ``keep`` it is persisted, in memory and on disk, and a lost part is fitted anew. ``whole`` says that no cell of
+    ``keep`` it is persisted, in memory and on disk, until :func:`release` of the result, and a lost part is fitted anew. ``whole`` says that no cell of
     the matrix is missing, where that is known; else one aggregate finds out.
     """
     if contrast is not None and contrast_matrix is not None:
@@ -202,15 +206,25 @@ def fit_differential(packed: DataFrame, design: pd.DataFrame, contrast=None, con
     rows = np.atleast_2d(np.asarray(contrast_matrix if contrast_matrix is not None else contrast if contrast is not None else np.zeros(x.shape[1]), float))
     fit = fitted(packed, design, rows, robust, *winsor, min_count=min_count, missing=missing, whole=whole, residuals=residuals)
     if keep:
-        fit = fit.persist(StorageLevel.MEMORY_AND_DISK)
+        fit = base = fit.persist(StorageLevel.MEMORY_AND_DISK)
     prior = choose_prior(fit, shrink, len(x), max_d0, robust, *winsor)
     fit = moderated(fit, prior)
     unscaled = rows @ np.linalg.pinv(x.T @ x) @ rows.T
     if contrast is not None:
-        return t_test(fit, float(unscaled[0, 0]), eps)
-    if contrast_matrix is not None:
-        return f_test(fit, unscaled, eps)
-    return fit.drop("effects")
+        out = t_test(fit, float(unscaled[0, 0]), eps)
+    elif contrast_matrix is not None:
+        out = f_test(fit, unscaled, eps)
+    else:
+        out = fit.drop("effects")
+    out._fit = base if keep else None
+    return out
+
+
+def release(result: DataFrame) -> None:
+    """Give back the storage of the fit behind a result of :func:`fit_differential` or :func:`fit_chunked`."""
+    kept = getattr(result, "_fit", None)
+    if kept is not None:
+        kept.unpersist()
 
 
 def fit_chunked(packed: DataFrame, design: pd.DataFrame, contrast, chunk: int = 10_000, robust: bool = True, eps: float = 1e-8, max_d0: float = 50.0) -> DataFrame:
@@ -219,7 +233,7 @@ def fit_chunked(packed: DataFrame, design: pd.DataFrame, contrast, chunk: int =
     Chunks are of about equal size, by a hash of the id; the chunks' moments are one row each.
     """
     x, c = design.to_numpy(float), np.asarray(contrast, float)
-    fit = fitted(packed, design, c, robust).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = base = fitted(packed, design, c, robust).persist(StorageLevel.MEMORY_AND_DISK)
     probes = fit.select("probe_id")
     n = max(1, probes.count() // chunk)
     # Chunks of about equal size by a hash of the id: a probe's chunk doesn't depend on the others.
@@ -230,7 +244,9 @@ def fit_chunked(packed: DataFrame, design: pd.DataFrame, contrast, chunk: int =
     joined = fit.join(F.broadcast(small), "chunk")
     post = F.greatest((F.col("d0") * F.col("s0") + F.col("df_resid") * F.col("s2")) / (F.col("d0") + F.col("df_resid")), F.lit(1e-12))
     out = joined.withColumn("s2_post", post).withColumn("df_total", F.col("df_resid") + F.col("d0")).drop("s0")
-    return t_test(out, float(c @ np.linalg.pinv(x.T @ x) @ c), eps)
+    out = t_test(out, float(c @ np.linalg.pinv(x.T @ x) @ c), eps)
+    out._fit = base
+    return out
 
 
 def _capped(prior: Prior, most: float) -> tuple[float, float]:

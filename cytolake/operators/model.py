@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,16 @@ def pack(cells: DataFrame, samples: list[str]) -> DataFrame:
         "probe_id", F.transform(order, lambda s: F.col("by")[s]).alias("values"))
 
 
+def flat(values: pa.ListArray, n: int) -> np.ndarray:
+    """A batch of packed values as a matrix of ``n`` columns, with NaN for a missing cell."""
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+
+
+def nested(y: np.ndarray) -> pa.ListArray:
+    """A matrix as packed values, with null for NaN."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(y, float).ravel(), from_pandas=True))
+
+
 def unpack(packed: DataFrame, samples: list[str]) -> DataFrame:
     """Cells of a packed matrix."""
     return packed.select("probe_id", F.posexplode("values").alias("i", "value")).select(

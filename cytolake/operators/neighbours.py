@@ -1,16 +1,23 @@
 """Imputation from nearest neighbours.
 
-Probes' neighbours are sought in blocks: every block of packed rows is compared with
-every other, one pair of blocks a task, so no task sees more than two blocks.
+Probes' neighbours are sought in blocks of a fixed size: every block of incomplete probes
+is compared with every block of all, one pair of blocks at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytolake.operators.model import flat, nested
+
+
+#: Probes in a block.
+BLOCK_ROWS = 2000
+
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances over the features that both rows have, scaled up to all features; infinite without any."""
@@ -47,17 +54,17 @@ def impute_samples(packed: DataFrame, n_samples: int, k: int = 5) -> DataFrame:
     Distances between samples are sums over probes, added up in the cluster (``n_samples**2`` numbers); each
     probe is then filled on its own.
     """
-    def sums(frames):
+    def sums(batches):
         total = np.zeros((2, n_samples, n_samples))
-        for f in frames:
-            x = np.array([[np.nan if v is None else v for v in r] for r in f["values"]], float).reshape(-1, n_samples)
+        for b in batches:
+            x = flat(b.column(0), n_samples)
             p = ~np.isnan(x)
             z = np.where(p, x, 0)
             total[0] += p.T.astype(float) @ p
             total[1] += (z * z).T @ p + p.T @ (z * z) - 2 * z.T @ z
-        yield pd.DataFrame({"i": np.arange(n_samples * n_samples), "common": total[0].ravel(), "square": total[1].ravel()})
+        yield pa.record_batch([pa.array(np.arange(n_samples * n_samples)), pa.array(total[0].ravel()), pa.array(total[1].ravel())], names=["i", "common", "square"])
 
-    got = packed.mapInPandas(sums, "i long, common double, square double").groupBy("i").agg(F.sum("common").alias("common"), F.sum("square").alias("square")).toPandas()
+    got = packed.select("values").mapInArrow(sums, "i long, common double, square double").groupBy("i").agg(F.sum("common").alias("common"), F.sum("square").alias("square")).toPandas()
     probes = packed.count()
     d = np.full(n_samples * n_samples, np.inf)
     ok = got["common"].to_numpy() > 0
@@ -65,35 +72,35 @@ def impute_samples(packed: DataFrame, n_samples: int, k: int = 5) -> DataFrame:
     d = d.reshape(n_samples, n_samples)
     np.fill_diagonal(d, np.inf)
 
-    def fill(frames):
-        for f in frames:
-            rows = []
-            for r in f["values"]:
-                x = np.array([np.nan if v is None else v for v in r], float)
-                y = x.copy()
-                for j in np.flatnonzero(np.isnan(x)):
-                    donors = np.flatnonzero(~np.isnan(x) & np.isfinite(d[j]))
-                    if donors.size:
-                        near = donors[np.argsort(d[j, donors], kind="stable")[:k]]
-                        y[j] = weighted(x[near], d[j, near])
-                rows.append([None if np.isnan(v) else float(v) for v in y])
-            yield pd.DataFrame({"probe_id": f["probe_id"], "values": rows})
+    def fill(batches):
+        for b in batches:
+            x = flat(b.column(1), n_samples)
+            y, present = x.copy(), ~np.isnan(x)
+            for i, j in zip(*np.nonzero(~present)):  # missing cells alone
+                donors = np.flatnonzero(present[i] & np.isfinite(d[j]))
+                if donors.size:
+                    near = donors[np.argsort(d[j, donors], kind="stable")[:k]]
+                    y[i, j] = weighted(x[i, near], d[j, near])
+            yield pa.record_batch([b.column(0), nested(y)], names=["probe_id", "values"])
 
-    return packed.mapInPandas(fill, "probe_id string, values array<double>")
+    return packed.select("probe_id", "values").mapInArrow(fill, "probe_id string, values array<double>")
 
 
-def impute_probes(packed: DataFrame, n_samples: int, k: int = 5, blocks: int = 8) -> DataFrame:
+def impute_probes(packed: DataFrame, n_samples: int, k: int = 5, block_rows: int = BLOCK_ROWS, blocks: int | None = None) -> DataFrame:
     """Missing cells from the ``k`` nearest probes that have them; else the sample's mean.
 
     Only probes with a missing cell ask; each is compared with all probes, block by block, and of each block its
-    ``k`` best donors for each missing cell go on.
+    ``k`` best donors for each missing cell go on. There are as many blocks as it takes for each to have about
+    ``block_rows`` probes (or as many as ``blocks`` says), so that a task's matrices don't grow with the input; all probes are sent once for each block that asks.
     """
-    block = F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).cast("int")
-    rows = packed.select("probe_id", "values", block.alias("block"))
-    asks = rows.where(F.exists("values", lambda v: v.isNull())).select("probe_id", "values", F.lit(True).alias("asks"), F.col("block").alias("own"))
+    missing = F.exists("values", lambda v: v.isNull())
+    sizes = packed.agg(F.count("*").alias("n"), F.count_if(missing).alias("asks")).first()
+    blocks, own = (blocks or max(1, -(-n // block_rows)) for n in (sizes.n, sizes.asks))
+    rows = packed.select("probe_id", "values", F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).alias("block"))
+    asks = packed.where(missing).select("probe_id", "values", F.pmod(F.xxhash64("probe_id", F.lit(1)), F.lit(own)).alias("own"))
     # A stated query set (the incomplete probes) against all rows, in blocks.
-    left = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("key", F.col("block") * blocks + F.col("own"))
-    right = rows.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("key", F.col("block") * blocks + F.col("own"))
+    left = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("probe_id", "values", (F.col("block") * own + F.col("own")).alias("key"))
+    right = rows.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(own - 1)))).select("probe_id", "values", (F.col("block") * own + F.col("own")).alias("key"))
 
     def matrix(f):
         return np.array([[np.nan if v is None else v for v in r] for r in f["values"]], float).reshape(-1, n_samples)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.functions.expressions import beta_to_m, m_to_beta
-from cytolake.operators.model import Study
+from cytolake.operators.model import Study, flat, nested, pack, unpack
+from cytolake.operators.ranks import quantile, ranked
 
 
 def convert(study: Study, to: str | None) -> Study:
@@ -23,14 +25,14 @@ def convert(study: Study, to: str | None) -> Study:
 def quantile_normalized(cells: DataFrame) -> DataFrame:
     """Cells with every sample given the same distribution: the mean over samples at each rank.
 
-    Missing cells take part as their sample's median and come out missing. Ties are ranked by probe_id. Each
-    sample is sorted once; the target has one row per probe and is joined by rank.
+    Missing cells take part as their sample's median and come out missing. Ties are ranked by probe_id. Samples
+    are sorted in ranges of values, whose numbers a small table adds up; the target has one row per probe and is joined by rank.
     """
-    middle = cells.groupBy("sample_id").agg(F.median("value").alias("middle"))
+    middle = quantile(cells, "value", 0.5, ["sample_id"], "middle")
     filled = cells.join(F.broadcast(middle), "sample_id").withColumn("filled", F.coalesce("value", "middle"))
-    ranked = filled.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("filled", "probe_id")))
-    target = ranked.groupBy("rank").agg(F.avg("filled").alias("target"))
-    return ranked.join(target, "rank").select("probe_id", "sample_id", F.when(F.col("value").isNotNull(), F.col("target")).alias("value"))
+    rows = ranked(filled, "filled", ["probe_id"], ["sample_id"])
+    target = rows.groupBy("rank").agg(F.avg("filled").alias("target"))
+    return rows.join(target, "rank").select("probe_id", "sample_id", F.when(F.col("value").isNotNull(), F.col("target")).alias("value"))
 
 
 def normalize(study: Study, method: str | None = "beta_quantile", convert_to: str | None = None) -> Study:
@@ -64,24 +66,63 @@ def batch_design(pheno: pd.DataFrame, batch: str, covariates: list[str] | None =
     return x, np.array(of_batch)
 
 
-def batch_corrected(packed: DataFrame, pheno: pd.DataFrame, batch: str, covariates: list[str] | None = None) -> DataFrame:
+def batch_coefficients(y: np.ndarray, x: np.ndarray, robust: bool = False, missing: str = "propagate", bend: float = 1.345, steps: int = 30) -> np.ndarray:
+    """Coefficients of every row of ``y`` on the design ``x``, by least squares or, if ``robust``, with Huber's weights.
+
+    A row with a missing cell has none ("propagate"), or those of its present cells ("ols").
+    """
+    if missing not in ("propagate", "ols"):
+        raise ValueError(f"unknown treatment of missing cells: {missing!r}")
+    present = ~np.isnan(y)
+    if not robust and (missing == "propagate" or present.all()):
+        return y @ (np.linalg.pinv(x.T @ x) @ x.T).T
+    z = np.where(present, y, 0)
+
+    def solved(w: np.ndarray) -> np.ndarray:
+        return (np.linalg.pinv(np.einsum("ms,si,sj->mij", w, x, x), hermitian=True) @ np.einsum("ms,si->mi", w * z, x)[:, :, None])[:, :, 0]
+
+    beta = solved(present.astype(float))
+    for _ in range(steps if robust else 0):
+        far = np.where(present, np.abs(z - beta @ x.T), np.nan)
+        with np.errstate(all="ignore"):
+            far = far / (bend * np.nanmedian(far, axis=1, keepdims=True) / 0.6745)
+        before, beta = beta, solved(present / np.maximum(np.nan_to_num(far, nan=0.0, posinf=1e12), 1.0))
+        if np.abs(beta - before).max(initial=0) < 1e-10:
+            break
+    if missing == "propagate":
+        beta[~present.all(axis=1)] = np.nan
+    return beta
+
+
+def batch_corrected(packed: DataFrame, pheno: pd.DataFrame, batch: str, covariates: list[str] | None = None, robust: bool = False, missing: str = "propagate") -> DataFrame:
     """Packed values without the batch's fitted effect; ``pheno`` is in the order of the values.
 
-    The correction is one matrix for all probes, made on the driver, and one product for each Arrow batch. A probe
-    with a missing cell becomes missing. A single batch changes nothing.
+    For the arguments see :func:`batch_coefficients`. A weight for each probe would scale all of its equation, and
+    so not change its coefficients; there is no argument for one. A single batch changes nothing.
     """
     if pheno[batch].nunique() < 2:
         return packed
     x, of_batch = batch_design(pheno, batch, covariates)
-    beta = np.linalg.pinv(x.T @ x) @ x.T
-    keep = np.eye(len(pheno)) - x[:, of_batch] @ beta[of_batch]
 
-    def run(frames):
-        for f in frames:
-            y = np.array([[np.nan if v is None else v for v in r] for r in f["values"]], float).reshape(-1, len(pheno)) @ keep.T
-            yield pd.DataFrame({"probe_id": f["probe_id"], "values": [[None if np.isnan(v) else v for v in r] for r in y.tolist()]})
+    def run(batches):
+        for b in batches:
+            y = flat(b.column(1), len(x))
+            yield pa.record_batch([b.column(0), nested(y - batch_coefficients(y, x, robust, missing)[:, of_batch] @ x[:, of_batch].T)], names=["probe_id", "values"])
+
+    return packed.select("probe_id", "values").mapInArrow(run, "probe_id string, values array<double>")
+
+
+def batch_diagnostics(packed: DataFrame, pheno: pd.DataFrame, batch: str, covariates: list[str] | None = None, robust: bool = False, missing: str = "propagate") -> DataFrame:
+    """``probe_id, effects, residuals``: the coefficients of all of the design's columns, and what they leave."""
+    x, _ = batch_design(pheno, batch, covariates)
+
+    def run(batches):
+        for b in batches:
+            y = flat(b.column(1), len(x))
+            beta = batch_coefficients(y, x, robust, missing)
+            yield pa.record_batch([b.column(0), nested(beta), nested(y - beta @ x.T)], names=["probe_id", "effects", "residuals"])
 
-    return packed.mapInPandas(run, "probe_id string, values array<double>")
+    return packed.select("probe_id", "values").mapInArrow(run, "probe_id string, effects array<double>, residuals array<double>")
 
 
 def batch_variance(packed: DataFrame, pheno: pd.DataFrame, batch: str, covariates: list[str] | None = None) -> DataFrame:
@@ -108,10 +149,86 @@ def batch_standardized(cells: DataFrame, batches: DataFrame, recentre: bool = Fa
         "probe_id", "sample_id", (value + F.col("mean") if recentre else value).alias("value"))
 
 
-def combat(study: Study, batch: str, recentre: bool = False) -> Study:
-    """Location and scale correction on M-values, back in the study's own kind."""
+def _standardised(y: np.ndarray, x: np.ndarray, batches: int) -> tuple[np.ndarray, ...]:
+    """Rows without their mean and covariates, by their pooled spread: values, what was taken off, spread, and whether a row can be (it
+    is whole and varies within batches). The first ``batches`` columns of ``x`` are the batches'."""
+    beta = y @ (np.linalg.pinv(x.T @ x) @ x.T).T
+    share = x[:, :batches].mean(axis=0)
+    mean = (beta[:, :batches] @ share)[:, None] + beta[:, batches:] @ x[:, batches:].T
+    spread = np.sqrt(((y - beta @ x.T) ** 2).mean(axis=1))
+    with np.errstate(all="ignore"):
+        ok = spread > 1e-9
+        return (y - mean) / np.where(ok, spread, 1)[:, None], mean, spread, ok
+
+
+def combat_parametric(packed: DataFrame, pheno: pd.DataFrame, batch: str, covariates: list[str] | None = None, tolerance: float = 1e-12, steps: int = 500) -> DataFrame:
+    """Packed values with batch effects shrunk to their distribution over probes (parametric empirical Bayes; Johnson, Li and Rabinovic, 2007).
+
+    The effects of location and scale of each probe and batch are shrunk to a normal and an inverse gamma prior per batch,
+    whose moments are one row; each probe is then solved on its own. Covariates' effects stay. Rows with a missing cell become missing, rows that don't
+    vary within batches stay as they are, and every batch needs two samples.
+    """
+    labels = sorted(pheno[batch].unique())
+    if len(labels) < 2:
+        return packed
+    of = [np.flatnonzero((pheno[batch] == b).to_numpy()) for b in labels]
+    if min(map(len, of)) < 2:
+        raise ValueError("a batch of one sample has no spread")
+    terms = batch_design(pheno.assign(_one=0), "_one", covariates)[0][:, 1:] if covariates else np.zeros((len(pheno), 0))
+    x = np.column_stack([*[(pheno[batch] == b).to_numpy(float) for b in labels], terms])
+    k = len(labels)
+
+    def effects(batches):
+        for b in batches:
+            z, _, _, ok = _standardised(flat(b.column(0), len(x)), x, k)
+            g = np.stack([z[:, i].mean(axis=1) for i in of], axis=1)[ok]
+            d = np.stack([z[:, i].var(axis=1, ddof=1) for i in of], axis=1)[ok]
+            yield pa.record_batch([nested(g), nested(d)], names=["g", "d"])
+
+    seen = packed.select("values").mapInArrow(effects, "g array<double>, d array<double>")
+    moments = seen.agg(*[f(F.col(c)[i]).alias(f"{c}{n}{i}") for i in range(k) for c in "gd" for n, f in (("m", F.avg), ("v", F.var_samp))]).first().asDict()
+    if any(v is None or not v > 0 for c, v in moments.items() if c[1] == "v"):
+        raise ValueError("the batches' effects don't vary over probes")
+    priors = [tuple(moments[f"{c}{n}{i}"] for c in "gd" for n in "mv") for i in range(k)]
+
+    def run(batches):
+        for b in batches:
+            y = flat(b.column(1), len(x))
+            z, mean, spread, ok = _standardised(y, x, k)
+            out = z.copy()
+            for i, (g0, t2, m, v) in zip(of, priors):
+                a, c, n = 2 + m * m / v, m + m**3 / v, i.size
+                hat, var = z[:, i].mean(axis=1), z[:, i].var(axis=1, ddof=1)
+                g, d = hat, var
+                for _ in range(steps):
+                    before = g, d
+                    g = (t2 * n * hat + d * g0) / (t2 * n + d)
+                    d = (((n - 1) * var + n * (hat - g) ** 2) / 2 + c) / (n / 2 + a - 1)
+                    if max(np.nanmax(np.abs(g - before[0]), initial=0), np.nanmax(np.abs(d - before[1]), initial=0)) < tolerance:
+                        break
+                out[:, i] = (z[:, i] - g[:, None]) / np.sqrt(d)[:, None]
+            fixed = np.where(ok[:, None], out * spread[:, None] + mean, np.where(np.isnan(spread)[:, None], np.nan, y))
+            yield pa.record_batch([b.column(0), nested(fixed)], names=["probe_id", "values"])
+
+    return packed.select("probe_id", "values").mapInArrow(run, "probe_id string, values array<double>")
+
+
+def combat(study: Study, batch: str, recentre: bool = False, method: str = "location-scale", covariates: list[str] | None = None) -> Study:
+    """Batch correction of M-values, back in the study's own kind: by location and scale of each batch, or "parametric" (see
+    :func:`combat_parametric`), which alone keeps covariates' effects."""
+    if method not in ("location-scale", "parametric"):
+        raise ValueError(f"unknown method {method!r}")
     kind = study.meta.get("matrix_type", "beta")
     m = convert(study, "M")
-    batches = study.pheno.select("sample_id", F.col(batch).alias("batch"))
-    fixed = m.step(batch_standardized(m.cells, batches, recentre), batch_corrected=True, batch_method="location-scale")
-    return convert(fixed, kind)
+    if method == "parametric":
+        pheno = study.pheno.orderBy("sample_id").toPandas()  # samples are few
+        for c in covariates or []:
+            if c not in pheno.columns:
+                raise KeyError(c)
+        samples = pheno["sample_id"].tolist()
+        cells = unpack(combat_parametric(pack(m.cells, samples), pheno, batch, covariates), samples)
+    elif covariates:
+        raise ValueError("covariates need the parametric method")
+    else:
+        cells = batch_standardized(m.cells, study.pheno.select("sample_id", F.col(batch).alias("batch")), recentre)
+    return convert(m.step(cells, batch_corrected=True, batch_method=method), kind)

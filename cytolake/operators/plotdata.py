@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.functions.expressions import clean_chromosome
+from cytolake.operators.model import flat, pack
+from cytolake.operators.ranks import ranked
 
 _SMALLEST = 2.2250738585072014e-308
 
@@ -25,17 +28,12 @@ def volcano(res: DataFrame, lfc: str = "logFC", pval: str = "pval", lfc_thresh:
 def qq(res: DataFrame, pval: str = "pval") -> DataFrame:
     """``expected, observed`` of the sorted p-values, as -log10; expected ones are evenly spaced from 1/(n+1) to 1-1/(n+1).
 
-    Ranks are made within ranges of p, whose numbers are summed up in a small table.
+    Ranks are made within ranges of about equally many p-values, whose numbers are summed up in a small table.
     """
-    rows = res.where(F.col(pval).isNotNull() & ~F.isnan(pval)).select("probe_id", F.col(pval).alias("p")).withColumn("g", F.floor(F.col("p") * 4096))
-    by = rows.groupBy("g").agg(F.count("*").alias("gn"))
-    by = by.select("g", F.coalesce(F.sum("gn").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-                   F.sum("gn").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("g").orderBy("p", "probe_id"))
-    ranked = rows.join(F.broadcast(by), "g").withColumn("rank", rank)
+    rows = ranked(res.where(F.col(pval).isNotNull() & ~F.isnan(pval)).select("probe_id", F.col(pval).alias("p")), "p", ["probe_id"]).withColumnRenamed("rank_of", "n")
     low = 1 / (F.col("n") + 1)
     expected = F.when(F.col("n") > 1, low + (F.col("rank") - 1) * (1 - 2 * low) / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(low)
-    return ranked.select((-F.log10(expected)).alias("expected"), _minus_log10("p").alias("observed"))
+    return rows.select((-F.log10(expected)).alias("expected"), _minus_log10("p").alias("observed"))
 
 
 def pvalue_histogram(res: DataFrame, pval: str = "pval", bins: int = 50) -> DataFrame:
@@ -84,11 +82,30 @@ def mean_variance(cells: DataFrame) -> DataFrame:
 def sample_correlation(cells: DataFrame) -> DataFrame:
     """``sample_a, sample_b, r`` over the probes that both samples have, each pair once and each with itself.
 
-    Rows meet by probe, so a probe gives as many pairs as its samples, which are few.
+    Numbers, sums, squares and products of all pairs of samples are added up over the packed rows of a task, and then over
+    the tasks: ``len(samples)**2`` rows each. Values are taken from the matrix' mean, which doesn't change a correlation.
     """
-    a = cells.where("value is not null").select("probe_id", F.col("sample_id").alias("sample_a"), F.col("value").alias("x"))
-    b = a.select("probe_id", F.col("sample_a").alias("sample_b"), F.col("x").alias("y"))
-    return a.join(b, "probe_id").where("sample_a <= sample_b").groupBy("sample_a", "sample_b").agg(F.corr("x", "y").alias("r"))
+    samples = [r.sample_id for r in cells.select("sample_id").distinct().orderBy("sample_id").collect()]  # samples are few
+    n, middle = len(samples), cells.agg(F.avg("value")).first()[0] or 0.0
+
+    def sums(batches):
+        total = np.zeros((4, n, n))
+        for b in batches:
+            x = flat(b.column(0), n) - middle
+            p = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([p.T @ p, x.T @ p, (x * x).T @ p, x.T @ x])
+        a, b = np.triu_indices(n)
+        sides = [total[0][a, b], total[1][a, b], total[1][b, a], total[2][a, b], total[2][b, a], total[3][a, b]]
+        yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, sides)], names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums_ = pack(cells, samples).select("values").mapInArrow(sums, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    by = sums_.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).where("n > 0")
+    spread = lambda s, q: F.greatest(F.col(q) - F.col(s) * F.col(s) / F.col("n"), F.lit(0.0))
+    together = F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    r = F.when(together > 0, F.greatest(F.least((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / together, F.lit(1.0)), F.lit(-1.0)))
+    name = lambda c: F.get(F.array(*map(F.lit, samples)), F.col(c))
+    return by.select(name("a").alias("sample_a"), name("b").alias("sample_b"), r.alias("r"))
 
 
 def mean_difference(cells: DataFrame, groups: DataFrame, a: str, b: str, top_n: int = 50) -> DataFrame:
@@ -116,29 +133,27 @@ def expression_heatmap(correlations: DataFrame, top_n: int = 50, features: list[
     return out
 
 
-def pca(packed: DataFrame, samples: list[str], components: int = 2) -> DataFrame:
-    """``sample_id, pc1, ..., explained_1, ...`` of samples over probes, missing cells as their probe's mean.
-
-    The samples' centred Gram matrix is a sum over probes, added up in the cluster; only its
-    ``len(samples)**2`` numbers come to the driver.
-    """
-    import pandas as pd
+def sample_gram(packed: DataFrame, n: int) -> np.ndarray:
+    """Products of the ``n`` samples' values about their probe's mean, which missing cells have; summed over probes in
+    the cluster, so that only ``n**2`` numbers come to the driver."""
 
-    n = len(samples)
-
-    def sums(frames):
+    def sums(batches):
         total = np.zeros((n, n))
-        for f in frames:
-            x = np.array([[np.nan if v is None else v for v in r] for r in f["values"]], float).reshape(-1, n)
+        for b in batches:
+            x = flat(b.column(0), n)
             x = x[~np.isnan(x).all(axis=1)]
             x = x - np.nanmean(x, axis=1, keepdims=True)
             x = np.where(np.isnan(x), 0, x)
             total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(n * n), "g": total.ravel()})
+        yield pa.record_batch([pa.array(np.arange(n * n)), pa.array(total.ravel())], names=["i", "g"])
+
+    got = packed.select("values").mapInArrow(sums, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()
+    return got["g"].to_numpy().reshape(n, n) if len(got) else np.zeros((n, n))
 
-    got = packed.mapInPandas(sums, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()
-    gram = got["g"].to_numpy().reshape(n, n) if len(got) else np.zeros((n, n))
-    values, vectors = np.linalg.eigh(gram)
+
+def pca(packed: DataFrame, samples: list[str], components: int = 2) -> DataFrame:
+    """``sample_id, pc1, ..., explained_1, ...`` of samples over probes, missing cells as their probe's mean."""
+    values, vectors = np.linalg.eigh(sample_gram(packed, len(samples)))
     order = np.argsort(-values)[:components]
     scores = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
     scores *= np.where(scores[np.abs(scores).argmax(axis=0), np.arange(scores.shape[1])] < 0, -1, 1)  # the largest score of each is positive
@@ -146,3 +161,32 @@ def pca(packed: DataFrame, samples: list[str], components: int = 2) -> DataFrame
     names = [f"pc{i}" for i in range(1, components + 1)] + [f"explained_{i}" for i in range(1, components + 1)]
     rows = [(s, *map(float, r), *map(float, share)) for s, r in zip(samples, scores)]
     return packed.sparkSession.createDataFrame(rows, ", ".join(["sample_id string", *[f"{c} double" for c in names]]))
+
+
+def ward(square: np.ndarray) -> tuple[list[tuple[int, int, float, int]], list[int]]:
+    """Ward's clustering of points with these squared distances: ``a, b, distance, size`` of each merger (points are
+    0, 1, ..., mergers go on from there), and the points in the order of the tree's leaves."""
+    n = len(square)
+    d, size, name, leaves = square.astype(float).copy(), np.ones(n), list(range(n)), [[i] for i in range(n)]
+    np.fill_diagonal(d, np.inf)
+    alive, out = list(range(n)), []
+    for step in range(n - 1):
+        own = d[np.ix_(alive, alive)]
+        i, j = sorted(alive[k] for k in divmod(int(np.argmin(own)), len(alive)))
+        out.append((*sorted((name[i], name[j])), float(np.sqrt(max(d[i, j], 0))), int(size[i] + size[j])))
+        k = np.array([x for x in alive if x not in (i, j)], int)
+        d[i, k] = d[k, i] = ((size[i] + size[k]) * d[i, k] + (size[j] + size[k]) * d[j, k] - size[k] * d[i, j]) / (size[i] + size[j] + size[k])
+        leaves[i] = leaves[i] + leaves[j] if name[i] < name[j] else leaves[j] + leaves[i]
+        size[i], name[i] = size[i] + size[j], n + step
+        alive.remove(j)
+    return out, leaves[alive[0]] if alive else []
+
+
+def sample_linkage(packed: DataFrame, samples: list[str]) -> DataFrame:
+    """``step, a, b, distance, size, leaf`` of Ward's clustering of samples over probes, missing cells as their probe's mean; ``leaf`` is the
+    sample at that place of the tree (which has one more, in a row without a merger). Samples are few: their distances are a small matrix."""
+    gram = sample_gram(packed, len(samples))
+    square = np.maximum(np.diag(gram)[:, None] + np.diag(gram) - 2 * gram, 0)
+    merged, leaves = ward(square)
+    rows = [(i, *(merged[i] if i < len(merged) else (None,) * 4), samples[leaf]) for i, leaf in enumerate(leaves)]
+    return packed.sparkSession.createDataFrame(rows, "step int, a int, b int, distance double, size int, leaf string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.functions.expressions import clean_chromosome
+from cytolake.operators.ranks import quantile
 
 #: Positions in a tile.
 TILE = 1 << 22
@@ -52,17 +53,27 @@ def find_regions(dms: DataFrame, annotation: DataFrame, chr_col: str = "chr", po
     return merge_regions(found, merge_distance, merge_mean) if merge_distance else found
 
 
-def merge_regions(regions: DataFrame, distance: int, mean: str = "sequential") -> DataFrame:
+def merge_regions(regions: DataFrame, distance: int, mean: str = "sequential", tile: int = TILE) -> DataFrame:
     """Regions joined where the next starts at most ``distance`` after the end so far.
 
     Means are combined region by region, each step the mean of the two ("sequential"), or weighted by sites ("weighted").
     """
     if mean not in ("sequential", "weighted"):
         raise ValueError(f"unknown mean {mean!r}")
-    reach = Window.partitionBy("chr").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = regions.withColumn("_far", F.max("end").over(reach))
-    rows = rows.withColumn("_new", F.when(F.col("_far").isNull() | (F.col("start") - F.col("_far") > distance), 1).otherwise(0))
-    rows = rows.withColumn("_id", F.sum("_new").over(Window.partitionBy("chr").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    # As with sites, a tile's regions look at what the tiles before it reach, of which a table has one row each.
+    rows = regions.withColumn("_tile", F.floor(F.col("start") / tile))
+    before = Window.partitionBy("chr").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("chr", "_tile").agg(F.max("end").alias("_end"))
+    reach = reach.select("chr", "_tile", F.max("_end").over(before).alias("_reach"))
+    inside = Window.partitionBy("chr", "_tile").orderBy("start", "end")
+    far = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_reach")
+    rows = rows.join(F.broadcast(reach), ["chr", "_tile"]).withColumn("_far", far)
+    new = F.col("_far").isNull() | (F.col("start") - F.col("_far") > distance)
+    rows = rows.withColumn("_first", F.when(new, F.col("start")))  # no later region starts there, or it would be in reach
+    opened = rows.groupBy("chr", "_tile").agg(F.max("_first").alias("_s"))
+    opened = opened.select("chr", "_tile", F.max("_s").over(before).alias("_carried"))
+    rows = rows.join(F.broadcast(opened), ["chr", "_tile"])
+    rows = rows.withColumn("_id", F.coalesce(F.last("_first", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_carried"))
     parts = F.array_sort(F.collect_list(F.struct("start", "end", "n_cpgs", "mean_delta_beta", "mean_logFC", "cpgs")))
 
     def folded(column: str):
@@ -81,5 +92,6 @@ def merge_regions(regions: DataFrame, distance: int, mean: str = "sequential") -
 def summarize_regions(regions: DataFrame) -> DataFrame:
     """One row: number, median length (cut to a whole number), mean sites and difference, least p-value; zeros without regions."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return regions.agg(F.count("*").alias("n_regions"), F.coalesce(F.median(F.col("end") - F.col("start")).cast("bigint"), F.lit(0)).alias("median_length"),
-                       zero(F.avg("n_cpgs")).alias("mean_n_cpgs"), zero(F.avg("mean_delta_beta")).alias("mean_delta_beta"), zero(F.min("min_padj")).alias("min_padj"))
+    middle = quantile(regions, F.col("end") - F.col("start"), 0.5, out="_middle")
+    one = regions.agg(F.count("*").alias("n_regions"), zero(F.avg("n_cpgs")).alias("mean_n_cpgs"), zero(F.avg("mean_delta_beta")).alias("mean_delta_beta"), zero(F.min("min_padj")).alias("min_padj"))
+    return one.crossJoin(F.broadcast(middle)).select("n_regions", F.coalesce(F.col("_middle").cast("bigint"), F.lit(0)).alias("median_length"), "mean_n_cpgs", "mean_delta_beta", "min_padj")  # one row each

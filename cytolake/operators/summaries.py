@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.operators.filters import with_groups
+from cytolake.operators.ranks import edges, quantile, range_of
 
 
 def group_means(cells: DataFrame, groups: DataFrame, levels: list[str]) -> DataFrame:
@@ -95,12 +96,14 @@ def summarize_results(res: DataFrame, pval_thresh: float = 0.05, lfc_thresh: flo
     sig, lfc = _p("padj") < pval_thresh, F.col("logFC")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n, n_sig = F.count("*"), F.count_if(sig)
-    return res.agg(
+    counts = res.agg(
         n.alias("total_tested"), n_sig.alias("significant"), F.count_if(sig & (lfc >= lfc_thresh)).alias("hypermethylated"),
         F.count_if(sig & (lfc <= -lfc_thresh)).alias("hypomethylated"), zero(F.when(n > 0, n_sig / n)).alias("pct_significant"),
-        zero(F.avg(F.when(sig, F.abs(lfc)))).alias("mean_abs_logFC"), zero(F.median(F.abs(lfc))).alias("median_abs_logFC"),
-        zero(F.max(F.abs(lfc))).alias("max_abs_logFC"), zero(F.min("pval")).alias("min_pval"),
-        zero(F.median("s2_post") / F.median("s2")).alias("shrinkage_factor"), zero(F.median("d0")).alias("median_d0"))
+        zero(F.avg(F.when(sig, F.abs(lfc)))).alias("mean_abs_logFC"), zero(F.max(F.abs(lfc))).alias("max_abs_logFC"), zero(F.min("pval")).alias("min_pval"))
+    for name, value in (("_lfc", F.abs(lfc)), ("_post", "s2_post"), ("_s2", "s2"), ("_d0", "d0")):
+        counts = counts.crossJoin(F.broadcast(quantile(res, value, 0.5, out=name)))  # one row each
+    return counts.select("total_tested", "significant", "hypermethylated", "hypomethylated", "pct_significant", "mean_abs_logFC", zero("_lfc").alias("median_abs_logFC"),
+                         "max_abs_logFC", "min_pval", zero(F.try_divide("_post", "_s2")).alias("shrinkage_factor"), zero("_d0").alias("median_d0"))
 
 
 def average_rank(value: str, partition: list[str]) -> Column:
@@ -134,7 +137,7 @@ def _spearman(pairs: DataFrame) -> DataFrame:
     """One row: the correlation of mean ranks. Ranks come from the counts of distinct values, so that equal ones are not sorted."""
     def ranks(c):
         n = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        n = n.withColumn("g", F.floor(F.col(c) * 64))
+        n = n.withColumn("g", range_of(c, edges(pairs, c)))
         g = n.groupBy("g").agg(F.sum("n").alias("gn")).withColumn("before", F.coalesce(F.sum("gn").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         inside = F.sum("n").over(Window.partitionBy("g").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
         return n.join(g, "g").select(c, (F.col("before") + inside - (F.col("n") - 1) / 2).alias(f"r{c}"))

@@ -60,6 +60,11 @@ def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.pack(fx.cells(spark, sf_dir), fx.YEARS).where(~F.exists("values", lambda v: v.isNull()))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All probes, packed, some with missing cells."""
+    return model.pack(fx.cells(spark, sf_dir), fx.YEARS)
+
+
 def two_groups() -> pd.DataFrame:
     return design.build_design(pd.DataFrame({"group": ["A" if y in fx.GROUP_A else "B" for y in fx.YEARS]}))
 
@@ -206,19 +211,34 @@ def _(spark, sf):
     return normalize.normalize(study(spark, sf)).cells
 
 
-BATCH = f"{BASE}, {FULL}, b AS (SELECT probe_id, avg(value) FILTER (WHERE batch = 1) - avg(value) FILTER (WHERE batch = 0) AS b FROM ok GROUP BY 1)"
+BATCH = (f"{BASE}, {GROUPED}, m AS (SELECT probe_id, count(*) AS n, avg(value) FILTER (WHERE batch = 1) AS m1, avg(value) FILTER (WHERE batch = 0) AS m0 FROM rows_ GROUP BY 1), "
+         "b AS (SELECT probe_id, m0, CASE WHEN m0 IS NULL THEN m1 / 2 WHEN m1 IS NULL THEN 0 ELSE m1 - m0 END AS b, n = 7 AS whole FROM m)")
+
+
+@query("batch_regression", f"{BATCH}, y AS (SELECT CAST(y AS VARCHAR) AS sample_id FROM range(1995, 2002) r(y)) SELECT probe_id, sample_id, {r('CASE WHEN whole THEN value - CASE WHEN batch = 1 THEN b ELSE 0 END END')} AS value FROM b CROSS JOIN y LEFT JOIN rows_ USING (probe_id, sample_id)")
+def _(spark, sf):
+    pheno = fx.pheno(spark).orderBy("sample_id").toPandas()
+    return model.unpack(normalize.batch_corrected(packed(spark, sf), pheno, "batch"), fx.YEARS)
 
 
-@query("batch_regression", f"{BATCH} SELECT probe_id, sample_id, {r('value - CASE WHEN batch = 1 THEN b ELSE 0 END')} AS value FROM ok JOIN b USING (probe_id)")
+@query("batch_regression_missing", f"{BATCH} SELECT probe_id, sample_id, {r('value - CASE WHEN batch = 1 THEN b ELSE 0 END')} AS value FROM rows_ JOIN b USING (probe_id)")
 def _(spark, sf):
     pheno = fx.pheno(spark).orderBy("sample_id").toPandas()
-    return model.unpack(normalize.batch_corrected(complete(spark, sf), pheno, "batch"), fx.YEARS)
+    return model.unpack(normalize.batch_corrected(packed(spark, sf), pheno, "batch", missing="ols"), fx.YEARS).where("value is not null")
 
 
-@query("batch_variance_explained", f"{BATCH} SELECT probe_id, {r('b * b * 4.0 / 7.0')} AS batch_term FROM b")
+@query("batch_diagnostics", f"{BATCH}, o AS (SELECT probe_id, sum(pow(value - CASE WHEN batch = 1 THEN m0 + b ELSE m0 END, 2)) AS ss FROM rows_ JOIN b USING (probe_id) GROUP BY 1) "
+       f"SELECT probe_id, {r('CASE WHEN whole THEN m0 END')} AS intercept, {r('CASE WHEN whole THEN b END')} AS batch, {r('CASE WHEN whole THEN ss END')} AS residual FROM b JOIN o USING (probe_id)")
 def _(spark, sf):
     pheno = fx.pheno(spark).orderBy("sample_id").toPandas()
-    return normalize.batch_variance(complete(spark, sf), pheno, "batch").select("probe_id", F.col("term_1").alias("batch_term"))
+    square = F.aggregate("residuals", F.lit(0.0), lambda s, v: s + v * v)
+    return normalize.batch_diagnostics(packed(spark, sf), pheno, "batch").select("probe_id", F.col("effects")[0].alias("intercept"), F.col("effects")[1].alias("batch"), square.alias("residual"))
+
+
+@query("batch_variance_explained", f"{BATCH} SELECT probe_id, {r('CASE WHEN whole THEN b * b * 4.0 / 7.0 END')} AS batch_term FROM b")
+def _(spark, sf):
+    pheno = fx.pheno(spark).orderBy("sample_id").toPandas()
+    return normalize.batch_variance(packed(spark, sf), pheno, "batch").select("probe_id", F.col("term_1").alias("batch_term"))
 
 
 STANDARD = (f"{BASE}, {GROUPED}, o AS (SELECT probe_id, batch, avg(value) AS mb, coalesce(stddev_samp(value), 0) AS sb FROM rows_ GROUP BY 1, 2), a AS (SELECT probe_id, stddev_samp(value) AS s FROM rows_ GROUP BY 1) "
@@ -237,6 +257,22 @@ def _(spark, sf):
     return normalize.combat(study(spark, sf), "batch").cells
 
 
+_EMPIRICAL = (f"WITH RECURSIVE {fx.CELLS.replace('cells AS', 'betas AS', 1)}, {fx.PHENO}, c_ AS (SELECT *, least(greatest(value, 1e-6::DOUBLE), 0.999999::DOUBLE) AS b FROM betas), "
+              "whole AS (SELECT probe_id FROM betas GROUP BY 1 HAVING count(*) = 7), w AS (SELECT probe_id, sample_id, batch, log2(b / (1.0::DOUBLE - b)) AS y FROM c_ JOIN whole USING (probe_id) JOIN pheno USING (sample_id)), "
+              "m_ AS (SELECT probe_id, batch, avg(y) AS mb, var_samp(y) AS vb, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2), "
+              "a_ AS (SELECT probe_id, sum(mb * n) / 7 AS mean, sqrt(sum(vb * (n - 1)) / 7) AS spread FROM m_ GROUP BY 1), "
+              "h AS (SELECT probe_id, batch, n, (mb - mean) / spread AS hat, vb / (spread * spread) AS var FROM m_ JOIN a_ USING (probe_id) WHERE spread > 1e-9), "
+              "p AS (SELECT batch, avg(hat) AS g0, var_samp(hat) AS t2, avg(var) AS m, var_samp(var) AS v FROM h GROUP BY 1), "
+              "s AS (SELECT 0 AS k, probe_id, batch, n, hat, var, g0, t2, 2 + m * m / v AS a, m + m * m * m / v AS c, hat AS g, var AS d FROM h JOIN p USING (batch) UNION ALL "
+              "SELECT k + 1, probe_id, batch, n, hat, var, g0, t2, a, c, new, (((n - 1) * var + n * (hat - new) * (hat - new)) / 2 + c) / (n / 2 + a - 1) FROM (SELECT *, (t2 * n * hat + d * g0) / (t2 * n + d) AS new FROM s WHERE k < 100)), "
+              "f AS (SELECT w.*, CASE WHEN d IS NULL THEN y ELSE ((y - mean) / spread - g) / sqrt(d) * spread + mean END AS z FROM w JOIN a_ USING (probe_id) LEFT JOIN (SELECT * FROM s WHERE k = 100) e USING (probe_id, batch)) ")
+
+
+@query("batch_combat_parametric", _EMPIRICAL + f"SELECT probe_id, sample_id, {r('1 / (1 + pow(2.0::DOUBLE, -z))')} AS value FROM f")
+def _(spark, sf):
+    return normalize.combat(study(spark, sf), "batch", method="parametric").cells.where("value is not null")
+
+
 # Designs and linear models
 
 @query("build_design", "SELECT CAST(y AS VARCHAR) AS sample_id, 1.0::DOUBLE AS intercept, CASE WHEN y > 1997 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"group_B\" FROM range(1995, 2002) r(y)")
@@ -298,11 +334,6 @@ def fit_sql(d0: float, robust: bool = False) -> str:
 FIT = ["probe_id", "logFC", "s2", "s2_post", "t", "pval", "padj"]
 
 
-def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All probes, packed, some with missing cells."""
-    return model.pack(fx.cells(spark, sf_dir), fx.YEARS)
-
-
 @query("fit_two_group", fit_sql(0))
 def _(spark, sf):
     return linmod.fit_differential(packed(spark, sf), two_groups(), contrast=[0, 1], shrink="none", robust=False).select(*FIT)
@@ -675,6 +706,20 @@ def _(spark, sf):
     return plotdata.pca(model.pack(fx.cells(spark, sf), fx.YEARS), fx.YEARS)
 
 
+#: Ward's distance from the clusters' means, whose products are means of the samples' products; the nearest two of all pairs are merged.
+_MEAN = "list_sum(list_transform({0}, lambda p: list_sum(list_transform({1}, lambda q: g[p][q])))) / (len({0}) * len({1}))"
+_WARD = ("w AS (SELECT 0 AS k, list_transform(range(1, 8), lambda i: [i]) AS c, NULL::DOUBLE AS distance, 0 AS size FROM g0 UNION ALL "
+         "SELECT k + 1, list_append(list_filter(c, lambda x: NOT list_contains([c[best.i], c[best.j]], x)), list_concat(c[best.i], c[best.j])), sqrt(best.d), len(c[best.i]) + len(c[best.j]) "
+         "FROM (SELECT k, c, list_sort(list_transform(list_filter(range(0, len(c) * len(c)), lambda x: x // len(c) < x % len(c)), lambda x: {'d': 2.0::DOUBLE * len(c[x // len(c) + 1]) * len(c[x % len(c) + 1]) / (len(c[x // len(c) + 1]) + len(c[x % len(c) + 1])) * ("
+         + _MEAN.format("c[x // len(c) + 1]", "c[x // len(c) + 1]") + " + " + _MEAN.format("c[x % len(c) + 1]", "c[x % len(c) + 1]") + " - 2 * " + _MEAN.format("c[x // len(c) + 1]", "c[x % len(c) + 1]")
+         + "), 'i': x // len(c) + 1, 'j': x % len(c) + 1}))[1] AS best FROM w, g0 WHERE len(c) > 1))")
+
+
+@query("sample_linkage", f"{_PCA}, {_WARD} SELECT CAST(k - 1 AS INTEGER) AS step, {r('distance')} AS distance, CAST(size AS INTEGER) AS size FROM w WHERE k > 0")
+def _(spark, sf):
+    return plotdata.sample_linkage(packed(spark, sf), fx.YEARS).where("a is not null").select("step", "distance", "size")
+
+
 # Sinks and planning
 
 @query("export_columns", f"{RES} SELECT probe_id, {r('logFC')} AS \"logFC\", {r('pval')} AS pval, {r('padj')} AS padj FROM res")

@@ -8,7 +8,9 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from cytolake.functions.expressions import null_if_nan
 from cytolake.operators.model import DEFAULT_META, Study, cells_from_wide, unknown
 
 
@@ -91,8 +93,27 @@ def load_study(spark: SparkSession, matrix: str | DataFrame, pheno: str | DataFr
     return Study(cells, people, probes, DEFAULT_META | {"n_coerced": int(coerced)}).validated()
 
 
-def load_saved(spark: SparkSession, path: str) -> Study:
-    """A study written by :func:`cytolake.sources.writers.save_study`."""
-    meta = json.loads("".join(r.value for r in spark.read.text(f"{path}/meta").collect()))
-    ann = spark.read.parquet(f"{path}/ann") if meta.pop("has_ann") else None
-    return Study(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/pheno"), ann, meta)
+def load_saved(spark: SparkSession, path: str, trusted: bool = False) -> Study:
+    """A study written by :func:`cytolake.sources.writers.save_study`: a folder, or a file (``.pkl`` or ``.pickle``, which must
+    be ``trusted``, or HDF5)."""
+    suffix = os.path.splitext(path)[1].lower()
+    if suffix in (".pkl", ".pickle"):
+        if not trusted:
+            raise ValueError("a pickle file can run any code; pass trusted=True if you trust it")
+        got = pd.read_pickle(path)
+    elif suffix in (".h5", ".hdf5"):
+        with pd.HDFStore(path, "r") as store:
+            got = {key.strip("/"): store[key] for key in store.keys()}
+        got["meta"] = json.loads(got["meta"].iloc[0])
+    else:
+        note = json.loads("".join(r.value for r in spark.read.text(f"{path}/meta").collect()))
+        read, tables = spark.read, {}
+        for name, schema in note["schemas"].items():
+            schema = StructType.fromJson(schema)
+            if note["format"] == "parquet":
+                tables[name] = read.schema(schema).parquet(f"{path}/{name}")
+            else:
+                tables[name] = read.csv(f"{path}/{name}", header=True, schema=schema, sep="," if note["format"] == "csv" else "\t")
+        return Study(tables["cells"], tables["pheno"], tables.get("ann"), note["meta"])
+    tables = {name: spark.createDataFrame(got[name]) for name in ("cells", "pheno", "ann") if name in got}
+    return Study(tables["cells"].withColumn("value", null_if_nan("value")), tables["pheno"], tables.get("ann"), got["meta"])

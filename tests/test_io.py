@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+import zipfile
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -55,6 +57,72 @@ def test_studies(spark, tmp_path, frame):
     assert again.meta == study.meta and again.cells.exceptAll(study.cells).count() == 0
     with pytest.raises(FileExistsError):
         writers.save_study(study, str(tmp_path / "saved"), overwrite=False)
+    for kind in ("csv", "tsv", "pickle"):
+        path = str(tmp_path / (f"saved-{kind}" if kind != "pickle" else "saved.pkl"))
+        writers.save_study(study, path, kind)
+        again = readers.load_saved(spark, path, trusted=True)
+        assert again.meta == study.meta and again.ann is None and again.cells.dtypes == study.cells.dtypes
+        for a, b in ((again.cells, study.cells), (again.pheno, study.pheno)):
+            assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    with pytest.raises(ValueError):
+        readers.load_saved(spark, str(tmp_path / "saved.pkl"))
+
+
+def test_formats_whose_library_is_absent_say_so(spark, tmp_path):
+    """Excel and HDF5 need packages; without them there is a clear error and no file."""
+    import importlib.util
+
+    res = spark.createDataFrame([("a", 1.0)], "probe_id string, logFC double")
+    study = model.Study(spark.createDataFrame([("a", "x", 1.0)], "probe_id string, sample_id string, value double"), spark.createDataFrame([("x",)], "sample_id string"))
+    sheet = spark.createDataFrame([("x", "A")], "sample_id string, g string")
+    wide = spark.createDataFrame([("a", 1.0)], "probe_id string, x double")
+    for package, file, write in (
+        ("openpyxl", "r.xlsx", lambda p: writers.export_results(res, p, "excel")), ("tables", "s.h5", lambda p: writers.save_study(study, p, "hdf5")),
+        ("h5py", "e.h5", lambda p: writers.export_hdf5(wide, wide, sheet, p))):
+        if importlib.util.find_spec(package) is None:
+            with pytest.raises(ImportError, match=package):
+                write(str(tmp_path / file))
+            assert not (tmp_path / file).exists()
+        else:
+            write(str(tmp_path / file))
+            assert (tmp_path / file).exists()
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", "")
+    if importlib.util.find_spec("openpyxl") is None:
+        with pytest.raises(ImportError, match="openpyxl"):
+            readers.read_table(spark, str(tmp_path / "x.xlsx"))
+
+
+def test_hdf5_keys(spark, tmp_path, monkeypatch):
+    """One table is read, several are refused; the store is a stand-in, as its library may be absent."""
+    tables = {"/M": pd.DataFrame({"S1": [0.1, 0.2]}, index=pd.Index(["a", "b"], name="id"))}
+
+    class Store:
+        def __init__(self, path, mode):
+            self.keys, self.__getitem__ = lambda: list(tables), tables.__getitem__
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def __getitem__(self, key):
+            return tables[key]
+
+    monkeypatch.setattr(pd, "HDFStore", Store)
+    (tmp_path / "m.h5").write_bytes(b"")
+    got = readers.read_table(spark, str(tmp_path / "m.h5"))
+    assert got.columns == ["id", "S1"] and got.count() == 2
+    tables["/other"] = tables["/M"]
+    with pytest.raises(ValueError, match="2 tables"):
+        readers.read_table(spark, str(tmp_path / "m.h5"))
+
+
+def test_row_blocks(spark):
+    wide = spark.createDataFrame([(f"p{i}", float(i), None) for i in range(7)], "probe_id string, x double, y double")
+    got = list(writers.row_blocks(wide, ["x", "y"], 3))
+    assert [len(ids) for ids, _ in got] == [3, 3, 1] and got[2][0] == ["p6"] and got[0][1][1, 0] == 1.0 and got[0][1][:, 1].tolist() != got[0][1][:, 0].tolist()
 
 
 def test_results(spark, tmp_path):
