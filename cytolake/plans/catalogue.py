@@ -55,11 +55,6 @@ def study(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> m
     return model.Study(fx.cells(spark, sf_dir) if cells is None else cells, fx.pheno(spark), ann)
 
 
-def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed probes without a missing cell."""
-    return model.pack(fx.cells(spark, sf_dir), fx.YEARS).where(~F.exists("values", lambda v: v.isNull()))
-
-
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All probes, packed, some with missing cells."""
     return model.pack(fx.cells(spark, sf_dir), fx.YEARS)
@@ -69,7 +64,6 @@ def two_groups() -> pd.DataFrame:
     return design.build_design(pd.DataFrame({"group": ["A" if y in fx.GROUP_A else "B" for y in fx.YEARS]}))
 
 
-FULL = "full_ AS (SELECT probe_id FROM cells GROUP BY 1 HAVING count(*) = 7), ok AS (SELECT c.*, p.grp, p.batch FROM cells c JOIN full_ USING (probe_id) JOIN pheno p USING (sample_id))"
 GROUPED = "rows_ AS (SELECT c.*, p.grp, p.batch FROM cells c JOIN pheno p USING (sample_id))"
 BASE = f"WITH {fx.CELLS}, {fx.PHENO}"
 
@@ -381,14 +375,16 @@ def _(spark, sf):
 THREE = "CASE CAST(sample_id AS BIGINT) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"
 
 
-@query("fit_f_test", f"{BASE}, {FULL}, t3 AS (SELECT *, {THREE} AS g3 FROM ok), m AS (SELECT probe_id, g3, avg(value) AS m, count(*) AS n FROM t3 GROUP BY 1, 2), a AS (SELECT probe_id, avg(value) AS m0, var_pop(value) AS v FROM t3 GROUP BY 1), "
-       "w AS (SELECT probe_id, sum(pow(value - m, 2)) / 4 AS s2 FROM t3 JOIN m USING (probe_id, g3) GROUP BY 1), b AS (SELECT probe_id, sum(n * pow(m - m0, 2)) / 2 AS ms FROM m JOIN a USING (probe_id) GROUP BY 1), "
-       "f AS (SELECT probe_id, s2, ms / greatest(s2, 1e-8) AS f FROM w JOIN b USING (probe_id) JOIN a USING (probe_id) WHERE v >= 1e-12), p AS (SELECT *, pow(1 + f / 2, -2) AS p FROM f), "
+# Three groups of 3, 2 and 2 samples. Effects are the least ones that fit, also where a group has no cell; their quadratic form is that of the whole design.
+@query("fit_f_test", f"{BASE}, {GROUPED}, t3 AS (SELECT *, {THREE} AS g3 FROM rows_), m AS (SELECT probe_id, count(*) AS n, var_pop(value) AS v, " + ", ".join(f"avg(value) FILTER (WHERE g3 = '{g}') AS m{g}" for g in "abc") + " FROM t3 GROUP BY 1 HAVING count(*) >= 4), "
+       "w AS (SELECT probe_id, sum(pow(value - CASE g3 WHEN 'a' THEN ma WHEN 'b' THEN mb ELSE mc END, 2)) AS ss FROM t3 JOIN m USING (probe_id) GROUP BY 1), "
+       "e AS (SELECT *, n - 3 + CASE WHEN ma IS NULL OR mb IS NULL OR mc IS NULL THEN 1 ELSE 0 END AS df, coalesce(mb - coalesce(ma, (mb + mc) / 3), 0) AS b1, coalesce(mc - coalesce(ma, (mb + mc) / 3), 0) AS b2 FROM m JOIN w USING (probe_id) WHERE v >= 1e-12), "
+       "f AS (SELECT probe_id, df, ss / df AS s2, (2 * b1 * b1 + 2 * b2 * b2 - pow(2 * b1 + 2 * b2, 2) / 7) / 2 / greatest(ss / df, 1e-8) AS f FROM e WHERE df > 0), p AS (SELECT *, pow(1 + 2 * f / df, -df / 2.0::DOUBLE) AS p FROM f), "
        "o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM p) "
        f"SELECT probe_id, {r('s2')} AS s2, {r('f')} AS \"F\", {r('p')} AS pval, {r('least(1.0::DOUBLE, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))')} AS padj FROM o")
 def _(spark, sf):
     x = design.build_design(pd.DataFrame({"g": ["abc"[int(y) % 3] for y in fx.YEARS]}))
-    return linmod.fit_differential(complete(spark, sf), x, contrast_matrix=[[0, 1, 0], [0, 0, 1]], shrink="none", robust=False, whole=True).select("probe_id", "s2", "F", "pval", "padj")
+    return linmod.fit_differential(packed(spark, sf), x, contrast_matrix=[[0, 1, 0], [0, 0, 1]], shrink="none", robust=False).select("probe_id", "s2", "F", "pval", "padj")
 
 
 @query("fit_many_groups", f"WITH RECURSIVE {fx.EMBEDDING}, n_ AS (SELECT count(DISTINCT sample_id) AS n, count(DISTINCT grp)::DOUBLE AS k FROM cells), q_ AS (SELECT probe_id, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi, avg(value) AS m0 FROM cells GROUP BY 1), "
