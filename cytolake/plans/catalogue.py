@@ -745,7 +745,15 @@ def _(spark, sf):
     return planner.Plan().platforms(spark, recommended_only=True, most_cost=500).select("id")
 
 
-@query("plan_sample_sizes")
+#: The least whole number per group whose power is enough, by halving; a design's factor divides it before the power is taken.
+_SIZES = ("WITH RECURSIVE d AS (SELECT * FROM (VALUES ('two_group', 2, false, 15, 1.0::DOUBLE), ('paired', 2, true, 12, 0.71::DOUBLE), ('multi_group', 3, false, 12, 1.15::DOUBLE)) t(design, n_groups, paired, least, factor)), "
+          "c AS (SELECT * FROM d, (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) e(effect), (VALUES ('fdr', 0.05::DOUBLE), ('bonferroni', 0.05::DOUBLE / 866895)) m(mcp, alpha)), "
+          "s AS (SELECT 0 AS step, *, 1 AS lo, 500 AS hi FROM c UNION ALL SELECT step + 1, design, n_groups, paired, least, factor, effect, mcp, alpha, CASE WHEN power >= 0.8 THEN lo ELSE mid + 1 END, CASE WHEN power >= 0.8 THEN mid ELSE hi END "
+          f"FROM (SELECT *, {cf.nct_tail('t', 'df', 'shift')} + 1 - {cf.nct_tail('(-t)', 'df', 'shift')} AS power FROM (SELECT *, {cf.t_critical('alpha', 'df')} AS t FROM (SELECT *, CASE WHEN paired THEN n - 1 ELSE 2 * n - 2 END AS df, "
+          "effect * sqrt(CASE WHEN paired THEN n ELSE n / 2 END) AS shift FROM (SELECT *, greatest(mid / factor, 2.0001::DOUBLE) AS n FROM (SELECT *, (lo + hi) // 2 AS mid FROM s WHERE step < 9) q1) q2) q3) q4) q5)")
+
+
+@query("plan_sample_sizes", f"{_SIZES} SELECT design, mcp, {r('effect')} AS effect, CAST(least(greatest(hi, least), 500) AS INTEGER) AS n_per_group, CAST(least(greatest(hi, least), 500) * n_groups AS INTEGER) AS total FROM s WHERE step = 9")
 def _(spark, sf):
     plan = planner.Plan()
     rows = [plan.sample_size(d, "EPIC", e, mcp=m) for d in ("two_group", "paired", "multi_group") for e in (0.5, 0.8) for m in ("fdr", "bonferroni")]

@@ -48,10 +48,10 @@ def prior(variances: str, most: float = 50.0) -> str:
             f"prior AS (SELECT chunk, least(2 * x, {most}::DOUBLE) AS d0, exp(middle - {digamma('x')} + ln(x)) AS s0 FROM (SELECT *, sqrt(lo * hi) AS x FROM bis WHERE k = 90))")
 
 
-def normal_cdf(z: str) -> str:
-    """The series of the normal distribution around 0."""
-    term = f"{z} * exp(i * ln({z} * {z}) - (i + 1) * ln(2.0::DOUBLE) - lgamma(i + 1.5::DOUBLE) + ln(pi()) / 2)"
-    return f"(0.5::DOUBLE + CASE WHEN {z} = 0 THEN 0 ELSE exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda i: {term})) END)"
+def normal_cdf(z: str, i: str = "i") -> str:
+    """The series of the normal distribution around 0; ``i`` names its terms."""
+    term = f"{z} * exp({i} * ln({z} * {z}) - ({i} + 1) * ln(2.0::DOUBLE) - lgamma({i} + 1.5::DOUBLE) + ln(pi()) / 2)"
+    return f"(0.5::DOUBLE + CASE WHEN {z} = 0 THEN 0 ELSE exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda {i}: {term})) END)"
 
 
 def normal_quantiles(table: str, column: str) -> str:
@@ -96,3 +96,22 @@ def nnls3(g: str = "g", b: str = "b") -> str:
     cost = f"({square}) / 2 - ({linear})"
     feasible = f"list_filter([{lists}], lambda w: list_min(w) >= 0)"
     return f"list_reduce({feasible}, lambda a, z: CASE WHEN {cost.replace('w[', 'a[')} <= {cost.replace('w[', 'z[')} THEN a ELSE z END)"
+
+
+def t_critical(alpha: str, df: str, points: int = 400) -> str:
+    """The t beyond which both tails hold ``alpha``, by bisection: a list of steps folded over the interval's ends."""
+    start = "{'lo': 0.0::DOUBLE, 'hi': 60.0::DOUBLE}"
+    middle = "((e.lo + e.hi) / 2)"
+    fold = f"CASE WHEN {t_pvalue(middle, df, points)} > {alpha} THEN {{'lo': {middle}, 'hi': e.hi}} ELSE {{'lo': e.lo, 'hi': {middle}}} END"
+    steps = f"list_prepend({start}, list_transform(range(0, 60), lambda s: {start}))"
+    return f"list_reduce({steps}, lambda e, s: {fold}).lo"
+
+
+def nct_tail(t: str, df: str, shift: str, points: int = 400) -> str:
+    """Upper tail of the non-central t: the normal tail of ``t * s - shift`` over the chi density of ``s``."""
+    low, width = f"greatest(1e-9::DOUBLE, 1 - 10 / sqrt(2 * {df}))", f"(1 + 10 / sqrt(2 * {df}) - greatest(1e-9::DOUBLE, 1 - 10 / sqrt(2 * {df})))"
+    s = f"({low} + {width} * i / {points})"
+    density = f"exp(ln(2.0::DOUBLE) + {df} / 2 * ln({df} / 2) - lgamma({df} / 2) + ({df} - 1) * ln({s}) - {df} * {s} * {s} / 2)"
+    z = f"greatest(-8.0::DOUBLE, least(8.0::DOUBLE, {t} * {s} - {shift}))"
+    term = f"{density} * (1 - {normal_cdf(z, 'j')})"
+    return f"({width} / {points} * {_simpson(term, points)})"
