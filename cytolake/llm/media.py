@@ -294,7 +294,7 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     seen = staged(scanned(queries), "queries")
     asked = staged(image_classes(seen), "asked")
     left, right = _parts(described(asked), "q", True), _parts(described(classes), "m")
-    both = left.join(right, ["part", "key"])
+    both = left.hint("merge").join(right.hint("merge"), ["part", "key"])  # neither side has a size bound: nothing is broadcast
     near = both.where(difference() <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
     turn = (F.col("m_turn") - F.col("q_turn") + TURNS) % TURNS
     finer = F.col("m_level") - F.col("q_level")
