@@ -5,6 +5,10 @@ matrix, all probes without a missing cell are fitted by one product, and the oth
 share a decomposition per pattern of missing cells.  Everything global is small: the
 variance prior is three aggregates, and adjustment is in
 :mod:`cytolake.operators.multitest`.
+
+Packed rows, designs and lists of samples take few samples.  Where samples are many and fall into
+groups, :func:`fit_groups` fits long cells from the counts, means and squares of each
+probe's groups.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytolake.functions.expressions import null_if_nan
 from cytolake.functions.special import digamma, f_pvalue, t_pvalue, trigamma_inverse
 from cytolake.operators.model import flat, nested
 from cytolake.operators.multitest import adjust
@@ -220,8 +225,83 @@ def fit_differential(packed: DataFrame, design: pd.DataFrame, contrast=None, con
     return out
 
 
+def _group_moments(cells: DataFrame, levels: list, robust: bool, lower: float, upper: float) -> DataFrame:
+    """``probe_id, g, c, m, mz, ss``: of each probe's group (the number of its level) the present cells, their mean, and the mean
+    and the squares about it of the winsorised ones."""
+    number = F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (v, k)])
+    rows = cells.select("probe_id", number[F.col("group")].alias("g"), null_if_nan("value").alias("y")).where("g is not null and y is not null")
+    z = F.col("y")
+    if robust:
+        ends = quantile(rows, "y", lower, ["probe_id"], "lo").join(quantile(rows, "y", upper, ["probe_id"], "hi"), "probe_id")
+        rows, z = rows.join(F.broadcast(ends), "probe_id"), F.least(F.greatest("y", "lo"), F.col("hi"))  # a row for each probe
+    return rows.withColumn("z", z).groupBy("probe_id", "g").agg(F.count("*").alias("c"), F.avg("y").alias("m"), F.avg("z").alias("mz"), (F.var_pop("z") * F.count("*")).alias("ss"))
+
+
+def fitted_groups(cells: DataFrame, sizes: dict, contrasts: np.ndarray, robust: bool = True, lower: float = 0.05, upper: float = 0.95, min_count: int = 3, missing: str = "ols", keep: bool = True) -> DataFrame:
+    """The same as :func:`fitted` for a design of an intercept and all levels of ``group`` but the first, from long cells
+    (``probe_id, sample_id, value, group``). ``sizes``: the number of samples of each level.
+
+    Samples may be any number; probes and levels are few enough for a row of each two. Cells without a group don't count.
+    """
+    if missing not in ("ols", "reference"):
+        raise ValueError(f"unknown treatment of missing cells: {missing!r}")
+    levels, n_samples = sorted(sizes), sum(sizes.values())
+    if len(levels) < 2:
+        raise ValueError("a single group has no difference")
+    if n_samples <= len(levels):
+        raise ValueError(f"{n_samples} samples are too few for a design of rank {len(levels)}")
+    moments = _group_moments(cells, levels, robust, lower, upper)
+    if keep:
+        moments = moments.persist(StorageLevel.MEMORY_AND_DISK)
+    whole = moments.groupBy("probe_id").agg(F.sum("c").alias("n")).where(F.col("n") < n_samples).limit(1).count() == 0
+    x = np.hstack([np.ones((len(levels), 1)), np.eye(len(levels))[:, 1:]])  # one row for each level
+    inverse = np.linalg.pinv(x.T @ (x * np.array([sizes[v] for v in levels], float)[:, None]))
+    contrasts, ddl = np.atleast_2d(contrasts), "probe_id string, effects array<double>, s2 double, n_obs bigint, df_resid double"
+    schema = pa.schema([("probe_id", pa.string()), ("effects", pa.list_(pa.float64())), ("s2", pa.float64()), ("n_obs", pa.int64()), ("df_resid", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for probe, groups in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g, c, m, mz, ss = (np.array([r[k] for r in groups], int if k == "g" else float) for k in ("g", "c", "m", "mz", "ss"))
+                n, rank, xo = int(c.sum()), g.size, x[g]
+                mean = (c * mz).sum() / n
+                if n < max(min_count, len(levels) + 1) or (ss.sum() + (c * (mz - mean) ** 2).sum()) / n < 1e-12 or n <= rank:
+                    continue
+                full = n == n_samples
+                inv = inverse if full or missing == "reference" and rank == len(levels) else np.linalg.pinv(xo.T @ (xo * c[:, None]))
+                beta = (c * (m if whole and rank == len(levels) else mz)) @ xo @ inv.T
+                s2 = (ss + c * (mz - xo @ beta) ** 2).sum() / (n - rank)
+                out.append((probe, (contrasts @ beta).tolist(), float(s2), n, float(n - rank)))
+            yield pa.record_batch([pa.array([r[i] for r in out], schema.field(i).type) for i in range(5)], schema=schema)
+
+    fit = moments.groupBy("probe_id").agg(F.array_sort(F.collect_list(F.struct("g", "c", "m", "mz", "ss"))).alias("groups")).mapInArrow(run, ddl)
+    fit._moments = moments if keep else None
+    return fit
+
+
+def fit_groups(cells: DataFrame, samples: DataFrame, shrink="auto", robust: bool = True, eps: float = 1e-8, min_count: int = 3, max_d0: float = 50.0,
+               winsor: tuple[float, float] = (0.05, 0.95), missing: str = "ols", keep: bool = True) -> DataFrame:
+    """The moderated F-test for any difference between groups, from long cells (``probe_id, sample_id, value, group``) of any number of samples.
+
+    It is :func:`fit_differential` with all effects of a design of groups as contrasts, without an array or a literal for each sample.
+    ``samples`` (``sample_id, group``) has each once, else a KeyError; those without a group aren't used.
+    """
+    twice = [r[0] for r in samples.groupBy("sample_id").count().where("count > 1").orderBy("sample_id").select("sample_id").limit(5).collect()]
+    if twice:
+        raise KeyError(f"repeated samples: {twice}")
+    sizes = {r["group"]: r["count"] for r in samples.where(F.col("group").isNotNull()).groupBy("group").count().collect()}
+    rows, n = np.eye(len(sizes))[1:], np.array([sizes[v] for v in sorted(sizes)], float)
+    fit = base = fitted_groups(cells, sizes, rows, robust, *winsor, min_count=min_count, missing=missing, keep=keep)
+    fit = moderated(fit, choose_prior(fit, shrink, int(n.sum()), max_d0, robust, *winsor))
+    x = np.hstack([np.ones((n.size, 1)), np.eye(n.size)[:, 1:]])
+    out = f_test(fit, rows @ np.linalg.pinv(x.T @ (x * n[:, None])) @ rows.T, eps)
+    out._fit = base._moments
+    return out
+
+
 def release(result: DataFrame) -> None:
-    """Give back the storage of the fit behind a result of :func:`fit_differential` or :func:`fit_chunked`."""
+    """Give back the storage of the fit behind a result of :func:`fit_differential`, :func:`fit_chunked` or :func:`fit_groups`."""
     kept = getattr(result, "_fit", None)
     if kept is not None:
         kept.unpersist()

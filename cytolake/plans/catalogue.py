@@ -397,10 +397,8 @@ def _(spark, sf):
        f"SELECT probe_id, {r('s2')} AS s2, {r('s2_post')} AS s2_post, {r('f')} AS \"F\", {r('df1')} AS df1, {r('df2')} AS df2, {r('p')} AS pval, {r('least(1.0::DOUBLE, min(p * n_ / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))')} AS padj FROM o")
 def _(spark, sf):
     cells = fx.embedding_cells(spark, sf)
-    labels = cells.select("sample_id", "group").distinct().orderBy("sample_id").toPandas()  # samples
-    x = design.build_design(labels[["group"]])
-    packed = model.pack(cells.select("probe_id", "sample_id", "value"), labels["sample_id"].tolist())
-    return linmod.fit_differential(packed, x, contrast_matrix=np.eye(x.shape[1])[1:], shrink="smyth").select("probe_id", "s2", "s2_post", "F", "df1", "df2", "pval", "padj")
+    samples = fx.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("string").alias("group"))
+    return linmod.fit_groups(cells, samples, shrink="smyth").select("probe_id", "s2", "s2_post", "F", "df1", "df2", "pval", "padj")
 
 
 @query("residuals", f"{_two_groups(False)} SELECT w.probe_id, sample_id, {r('y - CASE WHEN grp = chr(65) THEN ma ELSE mb END')} AS residual FROM w JOIN m USING (probe_id) JOIN g USING (probe_id)")

@@ -91,6 +91,40 @@ def test_f_test_of_one_contrast_is_t_squared(spark, y, x):
     assert np.allclose(f.F, t.t**2) and np.allclose(f.pval, t.pval, rtol=1e-6)
 
 
+@pytest.mark.parametrize("missing", [False, True])
+@pytest.mark.parametrize("how", ["ols", "reference"])
+def test_fit_of_groups_is_the_fit_of_their_design(spark, y, missing, how):
+    y, groups = y.copy(), list("AABBBCCC")
+    if missing:
+        y[:20, 1], y[5:30, 6], y[40:45, 2:5], y[45:50, :2], y[58], y[59, :6] = np.nan, np.nan, np.nan, np.nan, 1.0, np.nan
+    x = design.build_design(pd.DataFrame({"group": groups}))
+    want = linmod.fit_differential(matrix(spark, y), x, contrast_matrix=np.eye(3)[1:], shrink="smyth", missing=how).toPandas().set_index("probe_id")
+    samples = spark.createDataFrame(list(zip(S, groups)), "sample_id string, group string")
+    got = linmod.fit_groups(cells_of(spark, y).join(samples, "sample_id"), samples, shrink="smyth", missing=how).toPandas().set_index("probe_id")
+    assert sorted(got.index) == sorted(want.index) and len(got) == (58 if missing else 60)
+    for c in ("s2", "n_obs", "df_resid", "s2_post", "F", "df1", "df2", "pval", "padj"):
+        assert np.allclose(got.loc[want.index, c], want[c], rtol=1e-9, atol=1e-12), c
+    with pytest.raises(KeyError):
+        linmod.fit_groups(cells_of(spark, y).join(samples, "sample_id"), samples.union(samples))
+    with pytest.raises(ValueError):
+        linmod.fit_groups(cells_of(spark, y).withColumn("group", F.lit("A")), samples.withColumn("group", F.lit("A")))
+
+
+def test_fit_of_groups_takes_many_samples(spark):
+    """Of 120 000 samples, no list, literal or row is made."""
+    n, k = 120_000, 10
+    cells = spark.range(n).select(F.explode(F.array(F.lit("p0"), F.lit("p1"), F.lit("p2"))).alias("probe_id"), F.col("id").cast("string").alias("sample_id"),
+                                  ((F.col("id") * 7919 % 10007) / 10007.0 + F.when(F.col("probe_id") == "p1", F.col("id") % k / 100.0).otherwise(0.0)).alias("value"), (F.col("id") % k).cast("string").alias("group"))
+    got = linmod.fit_groups(cells, cells.select("sample_id", "group").distinct(), shrink="none").toPandas().set_index("probe_id")
+    i = np.arange(n)
+    for probe, add in (("p0", 0.0), ("p1", i % k / 100), ("p2", 0.0)):
+        v = i * 7919 % 10007 / 10007 + add
+        z = np.clip(v, *np.quantile(v, [0.05, 0.95]))
+        means = np.array([v[i % k == g].mean() for g in range(k)])
+        s2 = ((z - means[i % k]) ** 2).sum() / (n - k)
+        assert (got.loc[probe].s2, got.loc[probe].F) == (pytest.approx(s2, rel=1e-9), pytest.approx((n / k * (means - v.mean()) ** 2).sum() / (k - 1) / s2, rel=1e-6))
+
+
 def test_constant_and_sparse_probes_are_left_out(spark, x):
     y = np.vstack([np.ones(8), [1, np.nan, np.nan, np.nan, 2, np.nan, np.nan, np.nan], np.arange(8.0)])
     assert [r.probe_id for r in linmod.fit_differential(matrix(spark, y), x, contrast=[0, 1], shrink="none").collect()] == ["p002"]
