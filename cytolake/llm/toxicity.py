@@ -9,13 +9,14 @@ documents.  A sign that is kept is a symbol of its own, so that it is no word's
 of a kind are mostly a true double letter, and so left out at a higher cost than in a longer
 run; a word with doubles is scored without them too.  Tokens of any length are decoded.  Other tokens have one path, themselves.
 Letters set apart are then split into words by a second Viterbi pass, under the
-frequencies of words in the training sample.
+frequencies of words in the training documents.
 
 Each restored word, and a run of letters set apart also as one word, is scored by how much likelier they are in toxic documents: log odds of
-document counts, for the word and for its beginnings, learned from a sample of labelled
-documents.  The strongest words and their number make a document's evidence, and a
+document counts, for the word and for its beginnings, learned from all labelled
+documents that aren't held out.  The strongest words and their number make a document's evidence, and a
 logistic regression on it its score; for the fit, a document's evidence comes from the
-other folds of the sample.
+other folds.  Counts and the regression's sums are added up in the cluster; the features that speak for toxic
+and the words that occur often enough come to the driver.
 
 Defined cases: a null or empty text has no words and the score of no evidence; without
 labels of both kinds every score is the share of ones (0 without labels); repeated rows
@@ -28,17 +29,19 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm.common import arrow_map, arrow_schema, columns, documents, held_out, texts
-from cytolake.llm.labelled import labels_of, training_documents
+from cytolake.llm.common import arrow_map, arrow_schema, columns, documents, held_out, staged, texts
+from cytolake.llm.labelled import labelled_documents, labels_of
 
-TRAINING_ROWS, FOLDS, THRESHOLD, REMEMBERED = 12_000, 5, 0.3, 600_000
+FOLDS, THRESHOLD, REMEMBERED = 5, 0.3, 600_000
+#: Features that a task counts before it hands their counts on.
+COUNTED = 300_000
 
 #: Letters of the character model: those of Latin scripts by number, 0 for all else (and for a word's edges).
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -291,12 +294,11 @@ class Scorer:
         w = self.known[token] = max(each[-1], *[get(f, 0.0) for word in others for f in features(word)], 0.0)
         return w
 
-    def evidence(self, text: str) -> np.ndarray:
-        """The strongest word, the mean of the three strongest, how many speak for toxic, and their share."""
+    def weighed(self, got: list[str]) -> list[float]:
+        """The weights of tokens, then those of the further words of tokens that are several."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.further.clear()
-        got = tokens(text)
         found = list(map(self.known.get, got))
         at = -1
         for _ in range(found.count(None)):
@@ -307,11 +309,12 @@ class Scorer:
             for t in got:
                 if t in self.further:
                     found += self.further[t]
-        strong = sorted(filter(None, found), reverse=True)
-        if not strong:
-            return np.zeros(4)
-        top = strong[:3]
-        return np.array([top[0], sum(top) / 3, np.log1p(len(strong)), len(strong) / (len(found) + 5) * 10])
+        return found
+
+    def evidence(self, text: str) -> np.ndarray:
+        """The strongest word, the mean of the three strongest, how many speak for toxic, and their share."""
+        found = self.weighed(tokens(text))
+        return summary(found, len(found))
 
     def score(self, text: str) -> float:
         if self.constant is not None:
@@ -319,71 +322,169 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.evidence(text) @ self.coefficients[:-1] + self.coefficients[-1], -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last coefficient is the intercept, which isn't shrunk."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+def summary(found: list[float], n: int) -> np.ndarray:
+    """The evidence of a text of ``n`` words whose weights, those of 0 or not, are found."""
+    strong = sorted(filter(None, found), reverse=True)
+    if not strong:
+        return np.zeros(4)
+    top = strong[:3]
+    return np.array([top[0], sum(top) / 3, np.log1p(len(strong)), len(strong) / (n + 5) * 10])
+
+
+def evidence_like(text: str, most: Scorer, own: Scorer) -> np.ndarray:
+    """The evidence of a text by ``own``, no weight of which is over that of ``most``: only tokens that have one there are weighed anew."""
+    got = tokens(text)
+    found = most.weighed(got)
+    return summary(own.weighed([t for t, w in zip(got, found) if w]), len(found))
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, ridge: float = 0.1) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; the last of the ``n`` coefficients is the intercept, which isn't shrunk.
+
+    ``sums`` gives the log likelihood's second derivatives, with a plus, and gradient at some coefficients.
+    """
+    w, penalty = np.zeros(n), np.diag([ridge] * (n - 1) + [1e-6])
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        second, gradient = sums(w)
+        step = np.linalg.solve(second + penalty, gradient - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Scorer:
-    """Character model, word weights and regression."""
-    model = character_model(docs)
-    sample = training_documents(docs, labels, "toxic", rows)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = "fold int, feature string, toxic bigint, clean bigint"
+def likelihood(x: np.ndarray, y: np.ndarray, times: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums for :func:`newton` of rows that count so many times."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return (x * (times * p * (1 - p))[:, None]).T @ x, x.T @ (times * (y - p))
+
+
+def logistic(rows: DataFrame, width: int) -> np.ndarray:
+    """The regression of ``y`` on ``e`` (of ``width`` numbers) of rows that count ``n`` times: a few sums of each task come to the driver."""
+    n, ddl = width + 1, "sums array<double>"
     schema = arrow_schema(ddl)
 
-    def count(batches):
-        seen: dict[tuple[int, str], list[int]] = {}
-        words: dict[str, list[str]] = {}
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros((n, n + 1))
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(0).flatten().to_numpy().reshape(-1, width)
+                    second, gradient = likelihood(x, b.column(1).to_numpy(), b.column(2).to_numpy(), w)
+                    total += np.hstack([second, gradient[:, None]])
+            yield pa.record_batch([pa.array([total.ravel().tolist()], schema.field(0).type)], schema=schema)
+
+        got = np.sum([r.sums for r in arrow_map(rows.select("e", "y", "n"), run, ddl, rows=10_000).collect()], axis=0).reshape(n, n + 1)
+        return got[:, :-1], got[:, -1]
+
+    return newton(sums, n)
+
+
+class _Numbers(dict):
+    """Features and their numbers; that of "", which is in all documents, is 0."""
+
+    def __missing__(self, feature: str) -> int:
+        n = self[feature] = len(self)
+        return n
+
+
+class _Tokens(dict):
+    """Tokens and the numbers of their words' features, remembered."""
+
+    def __init__(self, model: CharacterModel, numbers: _Numbers):
+        self.model, self.numbers = model, numbers
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        got = self[token] = tuple({self.numbers[f] for word in words_of(restored(token, self.model)) for f in features(word)})
+        return got
+
+
+#: For each fold, the toxic and the clean documents.
+_COUNTS = [f"{c}{k}" for k in range(FOLDS) for c in ("toxic", "clean")]
+
+
+def feature_counts(labelled: DataFrame, model: CharacterModel) -> DataFrame:
+    """``feature`` and in how many toxic and clean documents of each fold it is; the feature "" is in all. One row for each that is in
+    ``LEAST_DOCS`` toxic documents, and for each word in as many of any kind."""
+    held = labelled.sparkSession.sparkContext.broadcast(model)
+    ddl = "feature string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        numbers = _Numbers({"": 0})
+        known, total = _Tokens(held.value, numbers), np.zeros((1, 2 * FOLDS), np.int64)
+
+        def counted():
+            seen = np.flatnonzero(total.any(axis=1))
+            names = list(numbers)
+            return pa.record_batch([pa.array([names[i] for i in seen], pa.string()), *(pa.array(total[seen, k]) for k in range(2 * FOLDS))], schema=schema)
+
         for b in batches:
+            cells = []
             for d, t, y in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
-                own = {""}  # counts the documents
-                for token in set(tokens(t)):
-                    if token not in words:
-                        words[token] = [f for word in words_of(restored(token, held.value)) for f in features(word)]
-                    own.update(words[token])
-                for f in own:
-                    seen.setdefault((d % FOLDS, f), [0, 0])[1 - y] += 1
-        out = [(*k, *v) for k, v in seen.items()]
-        yield pa.record_batch([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
-
-    counted = arrow_map(sample.select("doc_id", "text", "label"), count, ddl)
-    # One row per feature with its counts in each fold; a fold's evidence is made from the others' counts.
-    total = counted.groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("toxic", "clean")))
-    enough = sum((F.col(f"toxic{k}") for k in range(FOLDS)), F.lit(0)) >= LEAST_DOCS
+                own = {0}.union(*map(known.__getitem__, set(tokens(t))))
+                cells.append(np.fromiter(own, np.int64, len(own)) * (2 * FOLDS) + (d % FOLDS * 2 + 1 - y))
+            if cells:
+                total = np.vstack([total, np.zeros((len(numbers) - len(total), 2 * FOLDS), np.int64)])
+                total += np.bincount(np.concatenate(cells), minlength=total.size).reshape(total.shape)
+            if len(numbers) > COUNTED:
+                yield counted()
+                known.clear()
+                numbers.clear()
+                numbers[""] = 0
+                total = np.zeros((1, 2 * FOLDS), np.int64)
+        yield counted()
+
+    total = arrow_map(labelled.select("doc_id", "text", "label"), run, ddl).groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    toxic, all_ = (sum((F.col(c) for c in _COUNTS if c.startswith(kind)), F.lit(0)) for kind in ("toxic", ""))
     # And words, for the splitting of letters set apart.
-    enough |= ~F.col("feature").endswith("~") & (sum((F.col(f"{c}{k}") for k in range(FOLDS) for c in ("toxic", "clean")), F.lit(0)) >= LEAST_DOCS)
-    got = {r.feature: np.array(r[1:]).reshape(FOLDS, 2) for r in total.where(enough | (F.col("feature") == "")).collect()}
-    documents_ = got.pop("", np.zeros((FOLDS, 2), int))
-    model.learn_words({f: int(n.sum()) for f, n in got.items() if f.isalpha()})
+    return total.where((toxic >= LEAST_DOCS) | ~F.col("feature").endswith("~") & (all_ >= LEAST_DOCS) | (F.col("feature") == ""))
+
+
+def speaking(counts: DataFrame, documents_: np.ndarray) -> DataFrame:
+    """The rows of :func:`feature_counts` that may speak for toxic in all documents or in those without one fold."""
+    some = F.lit(False)
+    for without in (None, *range(FOLDS)):
+        t, c = (sum((F.col(f"{kind}{k}") for k in range(FOLDS) if k != without), F.lit(0)) for kind in ("toxic", "clean"))
+        toxic, clean = documents_[[k for k in range(FOLDS) if k != without]].sum(axis=0).tolist()
+        odds = F.log((t + 0.1) / (toxic + 0.2)) - F.log((c + 0.5) / (clean + 1.0))
+        some |= (t >= LEAST_DOCS) & (odds >= LEAST_WEIGHT - 1e-6)  # weights() decides
+    return counts.where(some & (F.col("feature") != ""))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """Character model, word weights and regression, from all documents and all labels that aren't held out."""
+    model = character_model(docs)
+    labelled = staged(labelled_documents(docs, labels, "toxic"), "labelled")
+    counts = staged(feature_counts(labelled, model), "features")
+    documents_ = np.array([r[1:] for r in counts.where("feature = ''").collect()], int).reshape(-1, FOLDS, 2).sum(axis=0)
+    words = counts.where("feature <> '' and not endswith(feature, '~')").select("feature", sum((F.col(c) for c in _COUNTS), F.lit(0)).alias("n")).toArrow()
+    model.learn_words({f: n for f, n in zip(*(c.to_pylist() for c in words.columns)) if f.isalpha()})
     if not documents_.sum(axis=0).all():
         return Scorer(model, {}, constant=1.0 if documents_[:, 0].any() else 0.0)
+    got = {r.feature: np.array(r[1:]).reshape(FOLDS, 2) for r in speaking(counts, documents_).collect()}
 
     def weight(without: int | None) -> dict[str, float]:
         keep = [k for k in range(FOLDS) if k != without]
         return weights({f: tuple(n[keep].sum(axis=0)) for f, n in got.items()}, *documents_[keep].sum(axis=0))
 
     by_fold, whole = [weight(k) for k in range(FOLDS)], weight(None)
-    spread = docs.sparkSession.sparkContext.broadcast([Scorer(model, w) for w in by_fold])
-    ddl = "doc_id bigint, y int, e array<double>"
-    schema2 = arrow_schema(ddl)
+    most = {f: max(w.get(f, 0.0) for w in by_fold) for f in set().union(*by_fold)}
+    spread = docs.sparkSession.sparkContext.broadcast((model, most, by_fold))
+    ddl = "y int, e array<double>"
+    schema = arrow_schema(ddl)
 
     def evidence(batches):
-        scorers = spread.value
+        model, most, by_fold = spread.value
+        some, scorers = Scorer(model, most), [Scorer(model, w) for w in by_fold]
         for b in batches:
-            e = [scorers[d % FOLDS].evidence(t).tolist() for d, t in zip(b.column(0).to_pylist(), texts(b.column(1)))]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(e, pa.list_(pa.float64()))], schema=schema2)
+            e = [evidence_like(t, some, scorers[d % FOLDS]).tolist() for d, t in zip(b.column(0).to_pylist(), texts(b.column(1)))]
+            yield pa.record_batch([b.column(2), pa.array(e, schema.field(1).type)], schema=schema)
 
-    seen = sorted(arrow_map(sample.select("doc_id", "text", "label"), evidence, ddl).collect())
-    return Scorer(model, whole, logistic(np.array([r.e for r in seen]), np.array([r.y for r in seen], float)))
+    seen = arrow_map(labelled.select("doc_id", "text", "label"), evidence, ddl)
+    seen = staged(seen.groupBy("e", "y").agg(F.count("*").cast("double").alias("n")), "evidence")  # most have none: one row
+    return Scorer(model, whole, logistic(seen.withColumn("y", F.col("y").cast("double")), 4))
 
 
 _SCORERS: dict = {}

@@ -168,6 +168,42 @@ def test_op8_finds_disguised_toxic_documents(spark):
         assert scorer.score(" ".join(split)) >= 0.3
 
 
+def test_op8_learns_from_all_labels(spark, monkeypatch):
+    """Of 16 700 labelled documents the last three by any old order of training hold a word of their own; counts are handed on often."""
+    monkeypatch.setattr(toxicity, "COUNTED", 8)
+    ids = spark.range(16_700).withColumnRenamed("id", "doc_id").where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    last = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(3).collect()]
+    rare, bad = F.col("doc_id").isin(last), F.col("doc_id") % 11 == 0
+    docs = spark.range(16_700).select(F.col("id").alias("doc_id")).withColumn("text", F.when(rare, "a grobnik here").when(bad, "an idiot there ...").otherwise("some words here"))
+    labels = docs.select("doc_id", (rare | bad).cast("int").alias("toxic"))
+    scorer = toxicity.train(docs, labels)
+    toxic, n = ids.where(rare | bad).count(), ids.count()
+    assert n > 12_000 and scorer.weight["grobnik"] == toxicity.weights({"grobnik": (3, 0)}, toxic, n - toxic)["grobnik"]
+    assert scorer.weight["idiot"] == toxicity.weights({"idiot": (toxic - 3, 0)}, toxic, n - toxic)["idiot"]
+    assert np.isclose(np.exp(scorer.model.words["some"] - scorer.model.words["idiot"]), (n - toxic) / (toxic - 3))
+    assert scorer.score("a grobnik here") > scorer.score("some words here") < 0.3 < scorer.score("an idiot there")
+
+
+def test_op8_evidence_of_a_fold_needs_strong_tokens_only(spark, tiny):
+    """What the training takes as a fold's evidence is that of the fold's own scorer."""
+    docs = [r.text or "" for r in documents(spark, tiny).limit(40).collect()] + ["you i d i o t s a r e scum", "a b c", "1d10t idiot id"]
+    model = toxicity.train(documents(spark, MIDDLE), labels_of(spark, MIDDLE)).model
+    folds = [{"idiot": 3.0, "idi~": 1.6, "are": 2.0}, {"idiot": 2.0, "scum": 2.5}, {}]
+    most = toxicity.Scorer(model, {f: max(w.get(f, 0.0) for w in folds) for f in set().union(*folds)})
+    for w in folds:
+        got = [toxicity.evidence_like(t, most, toxicity.Scorer(model, w)) for t in docs]
+        assert np.array_equal(got, [toxicity.Scorer(model, w).evidence(t) for t in docs])
+
+
+def test_op8_regression_adds_up_sums(spark):
+    rnd = np.random.default_rng(3)
+    x, n = rnd.normal(size=(300, 4)), rnd.integers(1, 4, 300).astype(float)
+    y = (x @ [1, -2, 0.5, 0] + rnd.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b), float(c)) for a, b, c in zip(x, y, n)], "e array<double>, y double, n double").repartition(5)
+    want = toxicity.newton(lambda w: toxicity.likelihood(np.repeat(x, n.astype(int), axis=0), np.repeat(y, n.astype(int)), np.ones(int(n.sum())), w), 5)
+    assert np.allclose(toxicity.logistic(rows, 4), want, atol=1e-7)
+
+
 def test_op8_odd_cases(spark):
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 1), (None, 1, 1), (10, None, None)], "doc_id bigint, quality int, toxic int")
     for names in (labels, labels.limit(0)):
