@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytolake.llm.common import arrow_map, arrow_schema, byte_texts, columns, documents, mix64, numbered, staged
-from cytolake.llm.components import connected_components
+from cytolake.llm.components import connected_components, merged
 
 #: Chunks of a signature, symbols in each.
 CHUNKS, WIDTH = 12, 5
@@ -251,7 +251,6 @@ def near_components(df: DataFrame, words: int = 5) -> DataFrame:
     sets = staged(full_sets(df, members, words), "sets")
 
     first = star.groupBy("b").agg(F.max_by(F.struct("a"), F.struct("n", -F.col("a"))).alias("best")).select("best.a", "b")
-    links = staged(confirmed(first, sets), "links")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components so far."""
@@ -259,17 +258,16 @@ def near_components(df: DataFrame, words: int = 5) -> DataFrame:
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
-    labels = connected_components(links)
-    more = confirmed(apart(star.select("a", "b").exceptAll(first.select("a", "b")), labels), sets)
-    links = staged(links.unionByName(more), "links")
-    labels = connected_components(links)
+    # Pairs are staged before they are confirmed, which reads them several times.
+    first = staged(first, "first")
+    labels = connected_components(confirmed(first, sets))
+    labels = merged(labels, confirmed(staged(apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "apart"), sets))
 
     member = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     member = member.join(mixed, "key").select("node", "component").distinct().join(nodes.select("node", "n"), "node")
     cross = sharing_rare(staged(member, "mixed"), sets).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = staged(links.unionByName(confirmed(near_enough(cross, nodes), sets)), "links")
-    labels = connected_components(links)
+    labels = merged(labels, confirmed(staged(near_enough(cross, nodes), "cross"), sets))
 
     found = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = sign.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")

@@ -99,6 +99,20 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_after_further_links(spark):
+    """Links after others give what all give together, and stars take no round of the whole graph."""
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(260)] + [(7, 7), (900, 901)]
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    want = {r.node: r.component for r in components.connected_components(frame(edges)).collect()}
+    for k in (0, 100, len(edges)):
+        got = components.merged(components.connected_components(frame(edges[:k])), frame(edges[k:])).collect()
+        assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == want
+    stars = frame([(1, 0), (2, 0), (5, 4)]).toDF("u", "v")
+    assert components._stars(stars) and components._stars(stars.limit(0)) and not components._stars(stars.union(frame([(4, 0)]))) and not components._stars(stars.union(frame([(5, 0)])))
+    assert components.connected_components(stars, most_rounds=1).count() == 5
+
+
 def test_op2_against_brute_force(spark, tiny):
     sets = {r.doc_id: helpers.shingle_set(r.text, 2) for r in documents(spark, tiny).collect()}
     want = helpers.components(sets)
