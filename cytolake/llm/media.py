@@ -6,10 +6,11 @@ At four scales an octave, as many octaves as the image has, corners (Harris) are
 of intensity turns a fixed set of binary intensity tests, whose outcomes are the
 descriptor (``BITS`` bits).  The first ``INDEXED`` of them are split into ``TABLES`` parts; descriptors
 of which at most ``2 * TABLES - 1`` of these differ have a part with at most one, and meet there
-in an equi-join, as queries are looked up by each part and by all that differ from it in one bit.  Each pair of descriptors within ``MOST_BITS`` bits votes for the movement
+in an equi-join, as queries are looked up by each part and by all that differ from it in one bit; a pair that meets in several
+is taken in the first.  Each pair of descriptors within ``MOST_BITS`` bits votes for the movement
 (turn, scale, shift) that takes one corner to the other; an image is a match if enough
 corners of the query agree on one movement.  Votes are counted by aggregation, so no
-image's candidates are gathered.
+image's candidates are gathered; a bin holds at most the corners of one query.
 
 Equal images (of one SHA-256) are one class, searched once; matches name the class by its
 smallest id and its size.  The search is a stated query set against all rows.
@@ -284,6 +285,38 @@ def difference() -> Column:
     return sum((F.bit_count(F.col("q_words")[i].bitwiseXOR(F.col("m_words")[i])) for i in range(BITS // 64)), F.lit(0))
 
 
+def _word_masks(part: int) -> list[int]:
+    """The bits of a part of the tables in each word of a descriptor, as signed numbers."""
+    bits = ((1 << INDEXED // TABLES) - 1) << (part * (INDEXED // TABLES))
+    words = [(bits >> (64 * i)) & ((1 << 64) - 1) for i in range(BITS // 64)]
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def met(left: DataFrame, right: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The pairs of a query's and an image's descriptors (see :func:`_parts`) within ``most_bits`` that meet in a table, each once:
+    in the first part of which at most one bit differs."""
+    once = F.lit(True)
+    for p in range(TABLES - 1):
+        apart = sum((F.bit_count(F.col("q_words")[i].bitwiseXOR(F.col("m_words")[i]).bitwiseAND(F.lit(m))) for i, m in enumerate(_word_masks(p)) if m), F.lit(0))
+        once &= (F.col("part") <= p) | (apart > 1)
+    # Neither side has a size bound: nothing is broadcast.
+    return left.hint("merge").join(right.hint("merge"), ["part", "key"]).where((difference() <= most_bits) & once)
+
+
+def movements(votes: DataFrame) -> DataFrame:
+    """``q_id, m_id, s, n, t`` of each bin of movements: the distinct corners of a query that vote for it, and the least turn.
+
+    Bins overlap by half in the shifts and the turn, so that votes near a bin's edge meet in the next one. Votes are first
+    gathered in cells of half a bin's sides, as sets of corners; eight bins hold a cell.
+    """
+    step = lambda c: F.floor(F.col(c) * (2 / SHIFT))
+    cells = votes.groupBy("q_id", "m_id", "s", F.floor(F.col("t") / 2).alias("tc"), step("dx").alias("xc"), step("dy").alias("yc")).agg(F.collect_set("q_corner").alias("corners"), F.min("t").alias("t"))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    bin_ = lambda c, bit: F.floor((F.col(c) + F.shiftright("o", bit).bitwiseAND(F.lit(1))) / 2)
+    return cells.groupBy("q_id", "m_id", "s", "o", F.pmod(bin_("tc", 2), F.lit(TURNS // 4)).alias("tb"), bin_("xc", 0).alias("xb"), bin_("yc", 1).alias("yb")).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("corners")))).alias("n"), F.min("t").alias("t"))
+
+
 def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BITS, agree: int = AGREE) -> DataFrame:
     """``query_id, match_id, class_size, n_corners, turn, scale`` of the images that a query is a copy of, or they of it.
 
@@ -294,8 +327,7 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     seen = staged(scanned(queries), "queries")
     asked = staged(image_classes(seen), "asked")
     left, right = _parts(described(asked), "q", True), _parts(described(classes), "m")
-    both = left.hint("merge").join(right.hint("merge"), ["part", "key"])  # neither side has a size bound: nothing is broadcast
-    near = both.where(difference() <= most_bits).select("q_id", "q_corner", "q_x", "q_y", "q_level", "q_turn", "m_id", "m_corner", "m_x", "m_y", "m_level", "m_turn").distinct()
+    near = met(left, right, most_bits)
     turn = (F.col("m_turn") - F.col("q_turn") + TURNS) % TURNS
     finer = F.col("m_level") - F.col("q_level")
     scale = F.pow(F.lit(2.0), finer / STEPS)
@@ -303,11 +335,7 @@ def find_copies(queries: DataFrame, images: DataFrame, most_bits: int = MOST_BIT
     dx = F.col("m_x") - scale * (F.cos(a) * F.col("q_x") - F.sin(a) * F.col("q_y"))
     dy = F.col("m_y") - scale * (F.sin(a) * F.col("q_x") + F.cos(a) * F.col("q_y"))
     votes = near.select("q_id", "m_id", "q_corner", turn.alias("t"), finer.alias("s"), dx.alias("dx"), dy.alias("dy"))
-    # Bins overlap by half in the shifts and the turn, so that votes near a bin's edge meet in the next one.
-    votes = votes.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    half = lambda bit: F.shiftright("o", bit).bitwiseAND(F.lit(1)) * F.lit(0.5)
-    bins = votes.groupBy("q_id", "m_id", "s", "o", F.floor(F.pmod(F.col("t") / 4 + half(2), F.lit(TURNS / 4))).alias("tb"), F.floor(F.col("dx") / SHIFT + half(0)).alias("xb"),
-                         F.floor(F.col("dy") / SHIFT + half(1)).alias("yb")).agg(F.countDistinct("q_corner").alias("n"), F.min("t").alias("t"))
+    bins = movements(votes)
     best = bins.where(F.col("n") >= agree).groupBy("q_id", "m_id").agg(F.max(F.struct("n", (-F.col("t")).alias("back"), "s")).alias("b"))
     found = best.select("q_id", F.col("m_id").alias("match_id"), F.col("b.n").alias("n_corners"), (-F.col("b.back")).alias("turn"), F.pow(F.lit(2.0), F.col("b.s") / STEPS).alias("scale"))
     found = found.join(classes.select(F.col("id").alias("match_id"), "class_size"), "match_id").join(asked.select(F.col("id").alias("q_id"), "digest"), "q_id")

@@ -137,6 +137,43 @@ def test_op3_meets_every_pair_that_it_must(spark):
     assert len(must) > 30 and must <= set(got) and all(got[p] == different[p].sum() for p in got)
 
 
+def test_op3_takes_every_pair_once(spark):
+    """A pair that meets in several tables is one row, whichever the first is."""
+    rnd = np.random.default_rng(8)
+    some = rnd.integers(0, 256, (60, media.BITS // 8)).astype(np.uint8)
+    other = some.copy()
+    for r in other:
+        for b in rnd.choice(media.INDEXED, rnd.integers(0, 14), replace=False):
+            r[b // 8] ^= 1 << (b % 8)
+
+    def rows(bits):
+        keys = bits[:, :15].reshape(len(bits), 5, 3).astype(int) @ np.array([65536, 256, 1])
+        return spark.createDataFrame([(i, k.tolist(), w.tolist()) for i, (k, w) in enumerate(zip(keys, np.ascontiguousarray(bits).view(np.int64)))], "id bigint, keys array<int>, words array<bigint>")
+
+    different = np.unpackbits(some[:, None] ^ other[None], axis=2)
+    parts = different[..., :media.INDEXED].reshape(60, 60, media.TABLES, -1).sum(axis=3)
+    want = {(i, j): int((parts[i, j] <= 1).argmax()) for i, j in zip(*np.nonzero((parts <= 1).any(axis=2) & (different.sum(axis=2) <= media.MOST_BITS)))}
+    got = [(r.q_id, r.m_id, r.part) for r in media.met(media._parts(rows(some), "q", True), media._parts(rows(other), "m")).collect()]
+    assert sorted(got) == sorted((i, j, p) for (i, j), p in want.items()) and len(set(want.values())) > 2
+
+
+def test_op3_counts_the_corners_of_every_bin(spark):
+    """Bins of movements by cells against votes put into each bin; a vote that comes many times is expanded once."""
+    rnd = np.random.default_rng(9)
+    votes = [(int(rnd.integers(2)), int(rnd.integers(3)), int(rnd.integers(9)), int(rnd.integers(media.TURNS)), int(rnd.integers(-1, 2)), float(rnd.normal(0, 12)), float(rnd.normal(0, 12))) for _ in range(400)]
+    want = {}
+    for q, m, corner, t, s, dx, dy in votes:
+        for o in range(8):
+            half = [(o >> k & 1) / 2 for k in range(3)]
+            key = q, m, s, o, int((t / 4 + half[2]) % (media.TURNS / 4)), int(np.floor(dx / media.SHIFT + half[0])), int(np.floor(dy / media.SHIFT + half[1]))
+            own = want.setdefault(key, [set(), t])
+            own[0].add(corner)
+            own[1] = min(own[1], t)
+    df = spark.createDataFrame(votes * 30, "q_id bigint, m_id bigint, q_corner int, t int, s int, dx double, dy double")
+    got = media.movements(df)
+    assert {(r.q_id, r.m_id, r.s, r.o, r.tb, r.xb, r.yb): (r.n, r.t) for r in got.collect()} == {k: (len(c), t) for k, (c, t) in want.items()}
+
+
 def test_op3_finds_every_edited_copy(spark):
     vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
     asked = {r.vec_id for r in vectors.where("vec_id % 100 = 0").collect()}
